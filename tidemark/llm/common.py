@@ -143,7 +143,7 @@ class Memo(dict):
     table is emptied when it holds ``cap`` entries (``trim``), so a worker's
     memory does not grow with the vocabulary."""
 
-    def __init__(self, fn, cap: int = 300_000):
+    def __init__(self, fn, cap: int = 500_000):
         super().__init__()
         self.fn, self.cap = fn, cap
 
@@ -180,3 +180,16 @@ def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches end by bytes as well as by rows: very long documents."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
+_state: dict = {}
+
+
+def worker_state(key: str, build):
+    """``build()`` once per Python worker and ``key``; workers are reused
+    between tasks, so caches of word features outlive a task. One state is
+    held at a time."""
+    if key not in _state:
+        _state.clear()
+        _state[key] = build()
+    return _state[key]

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, token_file
+from . import exact_dedup, langid, licenses, pieces, token_file, toxicity
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_token_file": token_file.op4_token_file,
+    "op8_language_id": langid.op8_language_id,
+    "op9_sentencepiece": pieces.op9_sentencepiece,
+    "op10_license_scan": licenses.op10_license_scan,
 }
 
 #: DuckDB SQL where SQL can express the operator.

@@ -193,3 +193,19 @@ def worker_state(key: str, build):
         _state.clear()
         _state[key] = build()
     return _state[key]
+
+
+def drop_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """``docs`` without the rows whose id is in the one column of ``ids``.
+
+    Only rows that a membership bitmap may hold are shuffled for the exact
+    anti join; all others pass through in the scan, texts and all."""
+    name = ids.columns[0]
+    gone = ids.select(F.col(name).alias("__drop")).distinct()
+    gone = materialize(gone.withColumn("__dk", F.xxhash64("__drop")), "drop-ids")
+    bits = materialize(bitmap(gone, "__dk"), "drop-bits")
+    marked = in_bitmap(docs.withColumn("__tm_key", F.xxhash64(docs[id_col])), bits, "__tm_key", "__tm_maybe")
+    sure = marked.filter("not __tm_maybe")
+    asked = marked.filter("__tm_maybe")
+    asked = asked.join(gone, asked[id_col].eqNullSafe(gone["__drop"]), "left_anti")
+    return sure.unionByName(asked).select(*docs.columns)

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, licenses, pieces, token_file, toxicity
+from . import decontaminate, exact_dedup, langid, licenses, lm_score, pieces, token_file, toxicity
 
 QUERIES = {
+    "op1_lm_score": lm_score.op1_lm_score,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_token_file": token_file.op4_token_file,
+    "op5_decontaminate": decontaminate.op5_decontaminate,
     "op8_language_id": langid.op8_language_id,
     "op9_sentencepiece": pieces.op9_sentencepiece,
     "op10_license_scan": licenses.op10_license_scan,
 }
 
 #: DuckDB SQL where SQL can express the operator.
-ORACLE = {"op2_exact_dedup": exact_dedup.ORACLE_SQL}
+ORACLE = {"op2_exact_dedup": exact_dedup.ORACLE_SQL, "op5_decontaminate": decontaminate.ORACLE_SQL}

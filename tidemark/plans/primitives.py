@@ -53,14 +53,18 @@ for _kind, _value, _where in (
         f"{ORACLE_HITS} select WatchID, SearchPhrase from hits where {_where}",
     )
 
-_part, _flag = fn.col("l_partkey") > 100, fn.col("l_returnflag") == "R"
+
+def _sides():
+    return fn.col("l_partkey") > 100, fn.col("l_returnflag") == "R"
+
+
 for _kind, _test, _where in (
     ("and", fn.and_, "l_partkey > 100 and l_returnflag = 'R'"),
     ("or", fn.or_, "l_partkey > 100 or l_returnflag = 'R'"),
     ("not", lambda a, b: fn.not_(fn.and_(a, b)), "not (l_partkey > 100 and l_returnflag = 'R')"),
 ):
     PLANS[f"filter_expr_{_kind}"] = (
-        lambda spark, d, t=_test: filter_expr(_t(spark, d, "lineitem", *LINE, "l_returnflag"), t(_part, _flag)),
+        lambda spark, d, t=_test: filter_expr(_t(spark, d, "lineitem", *LINE, "l_returnflag"), t(*_sides())),
         f"select {LINE_SQL}, l_returnflag from lineitem where {_where}",
     )
 
@@ -190,13 +194,19 @@ def _(spark, d):
     return project(rows, out)
 
 
-for _kind, _pattern in (("contains", "%/en/%"), ("prefix", "https://%"), ("suffix", "%ref=x"), ("equal", "https://www.example.com/"), ("general", "%/f_/%")):
+for _kind, _pattern in (("contains", "%/en/%"), ("prefix", "https://%"), ("suffix", "%ref=x"), ("general", "%/f_/%")):
     PLANS[f"like_{_kind}"] = (
         lambda spark, d, p=_pattern: filter_expr(_t(spark, d, "pages", "page_id", "url"), fn.like(fn.col("url"), p)),
         f"select page_id, url from pages where url like '{_pattern}'",
     )
 
 
+@plan("like_equal", "select n_nationkey, n_name from nation where n_name like (select min(n_name) from nation)")
+def _(spark, d):
+    first = _t(spark, d, "nation", "n_name").agg(F.min("n_name")).first()[0]
+    return filter_expr(_t(spark, d, "nation", "n_nationkey", "n_name"), fn.like(fn.col("n_name"), first))
+
+
 @plan("byte_length", "select doc_id, strlen(text) as n_bytes from documents")
 def _(spark, d):
     return project(_t(spark, d, "documents", "doc_id", "text"), {"doc_id": fn.col("doc_id"), "n_bytes": fn.len_str(fn.col("text"))})
@@ -206,24 +216,34 @@ def _keys(spark, d):
     return _t(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
-ROW = {"l_orderkey": fn.col("l_orderkey"), "l_linenumber": fn.col("l_linenumber")}
+def _row():
+    return {c: fn.col(c) for c in ("l_orderkey", "l_linenumber")}
+
+
+def _a():
+    return fn.col("l_partkey")
+
+
+def _b():
+    return fn.col("l_suppkey")
+
+
 ROW_SQL = "l_orderkey, l_linenumber"
-_a, _b = fn.col("l_partkey"), fn.col("l_suppkey")
 
 
 @plan("arith_add_sub_mul", f"select {ROW_SQL}, l_partkey + l_suppkey as a, l_partkey - l_suppkey as s, l_partkey * l_suppkey as m from lineitem")
 def _(spark, d):
-    return project(_keys(spark, d), ROW | {"a": fn.add(_a, _b), "s": fn.sub(_a, _b), "m": fn.mul(_a, _b)})
+    return project(_keys(spark, d), _row() | {"a": fn.add(_a(), _b()), "s": fn.sub(_a(), _b()), "m": fn.mul(_a(), _b())})
 
 
 @plan("div_zero", f"select {ROW_SQL}, coalesce((l_suppkey - l_partkey) // nullif(l_suppkey % 3, 0), 0) as q from lineitem")
 def _(spark, d):
-    return project(_keys(spark, d), ROW | {"q": fn.div(_b - _a, _b % 3)})
+    return project(_keys(spark, d), _row() | {"q": fn.div(_b() - _a(), _b() % 3)})
 
 
 @plan("mod_zero", f"select {ROW_SQL}, coalesce((l_suppkey - l_partkey) % nullif(l_suppkey % 3, 0), 0) as r from lineitem")
 def _(spark, d):
-    return project(_keys(spark, d), ROW | {"r": fn.mod(_b - _a, _b % 3)})
+    return project(_keys(spark, d), _row() | {"r": fn.mod(_b() - _a(), _b() % 3)})
 
 
 @plan("in_list", f"{ORACLE_HITS} select WatchID, TraficSourceID from hits where TraficSourceID in (-1, 3, 6)")
@@ -268,7 +288,7 @@ def _spread_sql(name: str) -> str:
 
 @plan("z_order_2d", f"select {ROW_SQL}, {_spread_sql('l_partkey')} | ({_spread_sql('l_suppkey')} << 1) as z from lineitem")
 def _(spark, d):
-    return project(_keys(spark, d), ROW | {"z": fn.z_order_2d(_a, _b)})
+    return project(_keys(spark, d), _row() | {"z": fn.z_order_2d(_a(), _b())})
 
 
 @plan("json_get", "select event_id, coalesce(json_extract_string(props, '$.k'), '') as k, coalesce(json_extract_string(props, '$.none'), '') as missing from events")
@@ -286,7 +306,10 @@ def _(spark, d):
     )
 
 
-_list = F.when(_a % 5 == 0, "[]").otherwise(F.concat(F.lit("["), (_a % 50).cast("string"), F.lit(","), (_b % 50).cast("string"), F.lit("]")))
+def _list():
+    return F.when(_a() % 5 == 0, "[]").otherwise(F.concat(F.lit("["), (_a() % 50).cast("string"), F.lit(","), (_b() % 50).cast("string"), F.lit("]")))
+
+
 LIST_SQL = "(case when l_partkey % 5 = 0 then '[]' else concat('[', l_partkey % 50, ',', l_suppkey % 50, ']') end)"
 
 
@@ -295,12 +318,12 @@ LIST_SQL = "(case when l_partkey % 5 = 0 then '[]' else concat('[', l_partkey %
     f"select {ROW_SQL}, cast(case when length({LIST_SQL}) > 2 then length({LIST_SQL}) - length(replace({LIST_SQL}, ',', '')) + 1 else 0 end as bigint) as n from lineitem",
 )
 def _(spark, d):
-    return project(_keys(spark, d), ROW | {"n": fn.array_length(_list)})
+    return project(_keys(spark, d), _row() | {"n": fn.array_length(_list())})
 
 
 @plan("array_contains", f"select {ROW_SQL}, cast(regexp_matches({LIST_SQL}, '[\\[,]42[,\\]]') as bigint) as has from lineitem")
 def _(spark, d):
-    return project(_keys(spark, d), ROW | {"has": fn.array_contains_int(_list, 42)})
+    return project(_keys(spark, d), _row() | {"has": fn.array_contains_int(_list(), 42)})
 
 
 @plan(
@@ -315,14 +338,17 @@ def _(spark, d):
     return project(_t(spark, d, "customer", "c_custkey"), {"c_custkey": k, "km": F.round(km, 6)})
 
 
-_price = F.concat(F.when(_b % 2 == 0, "-").otherwise(""), (_a % 100).cast("string"), F.lit("."), F.lpad((_b % 1000).cast("string"), 3, "0"))
+def _price():
+    return F.concat(F.when(_b() % 2 == 0, "-").otherwise(""), (_a() % 100).cast("string"), F.lit("."), F.lpad((_b() % 1000).cast("string"), 3, "0"))
+
+
 PRICE_SQL = "concat(case when l_suppkey % 2 = 0 then '-' else '' end, l_partkey % 100, '.', lpad(cast(l_suppkey % 1000 as varchar), 3, '0'))"
 CENTS_SQL = f"(case when {PRICE_SQL} like '-%' then -1 else 1 end * (l_partkey % 100 * 100 + (l_suppkey % 1000) // 10))"
 
 
 @plan("parse_decimal", f"select {ROW_SQL}, cast({CENTS_SQL} as bigint) as cents from lineitem")
 def _(spark, d):
-    return project(_keys(spark, d), ROW | {"cents": fn.parse_decimal(_price, 2)})
+    return project(_keys(spark, d), _row() | {"cents": fn.parse_decimal(_price(), 2)})
 
 
 @plan(
@@ -330,9 +356,9 @@ def _(spark, d):
     f"select {ROW_SQL}, concat(case when v < 0 then '-' else '' end, abs(v) // 100, '.', lpad(cast(abs(v) % 100 as varchar), 2, '0')) as t from (select *, l_suppkey - l_partkey as v from lineitem)",
 )
 def _(spark, d):
-    return project(_keys(spark, d), ROW | {"t": fn.format_decimal(_b - _a, 2)})
+    return project(_keys(spark, d), _row() | {"t": fn.format_decimal(_b() - _a(), 2)})
 
 
 @plan("decimal_mul", f"select {ROW_SQL}, (l_suppkey - l_partkey) * l_partkey // 100 as m from lineitem")
 def _(spark, d):
-    return project(_keys(spark, d), ROW | {"m": fn.decimal_mul(_b - _a, _a, 2)})
+    return project(_keys(spark, d), _row() | {"m": fn.decimal_mul(_b() - _a(), _a(), 2)})

@@ -237,6 +237,26 @@ def decode(tokens: DataFrame, model: str | None = None, id_col: str = "doc_id",
     return tokens.select(tokens[id_col].cast("long").alias("doc_id"), tokens[ids_col].alias("ids")).mapInArrow(run, "doc_id long, text string")
 
 
+def encode_checked(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, ids, n_ids and ``exact``: decoding the ids gives the text."""
+    bounded_batches(docs.sparkSession)
+    path = model or default_model()
+
+    def run(frames):
+        coder = _coder(path)
+        for b in slices(frames):
+            raws = raw_texts(b.column(1))
+            packed = [coder.encode(t.decode("utf-8", "replace")) for t in raws]
+            exact = [coder.decode(p) == t for p, t in zip(packed, raws, strict=True)]
+            sizes = [len(p) // 4 for p in packed]
+            ids = pa.array(np.frombuffer(b"".join(packed), "<u4").astype(np.int32))
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]).astype(np.int32)), ids)
+            yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(sizes, pa.int64()), pa.array(exact, pa.bool_())], ["doc_id", "ids", "n_ids", "exact"])
+
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    return rows.mapInArrow(run, "doc_id long, ids array<int>, n_ids long, exact boolean")
+
+
 RESULT = "doc_id long, n_ids long, ids_crc32 long, n_chars long, decoded_crc32 long, exact boolean"
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, langid, licenses, lm_score, pieces, token_file, toxicity
+from . import decontaminate, exact_dedup, html_text, langid, licenses, lm_score, near_dedup, pieces, token_file, toxicity
 
 QUERIES = {
     "op1_lm_score": lm_score.op1_lm_score,
@@ -10,6 +10,8 @@ QUERIES = {
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_token_file": token_file.op4_token_file,
     "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op6_html_text": html_text.op6_html_text,
+    "op7_near_dedup": near_dedup.op7_near_dedup,
     "op8_language_id": langid.op8_language_id,
     "op9_sentencepiece": pieces.op9_sentencepiece,
     "op10_license_scan": licenses.op10_license_scan,

@@ -1,0 +1,76 @@
+import corpus_pipeline as cp
+import pytest
+
+from tidemark.llm import common, decontaminate, near_dedup, toxicity
+
+
+def test_stage_order():
+    assert [n for n, _ in cp.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "decontamination", "sentencepiece"]
+    assert cp.ORACLE_SQL is None
+
+
+def test_run_equals_a_plain_composition(spark, sf_dir):
+    """Each stage's decisions, taken one by one on the driver."""
+    docs = common.table(spark, sf_dir, "documents")
+    out = cp.run(spark, sf_dir).collect()
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score(docs, toxicity.fit(docs, common.table(spark, sf_dir, "labels"))).collect()}
+    rows = [r for r in docs.collect() if scores[r["doc_id"]] < toxicity.THRESHOLD]
+    fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    last = {}
+    for r in rows:
+        t = (r["text"] or "").translate(fold)
+        last[t] = max(last.get(t, -1), r["doc_id"])
+    rows = [r for r in rows if last[(r["text"] or "").translate(fold)] == r["doc_id"]]
+    left = spark.createDataFrame(rows, docs.schema)
+    near = {r["doc_id"] for r in near_dedup.near_classes(left).collect() if r["kept"]}
+    left = left.filter(left["doc_id"].isin(sorted(near)))
+    bad = {r["doc_id"] for r in decontaminate.contaminated(left, common.table(spark, sf_dir, "benchmark")).collect()}
+    assert sorted(r["doc_id"] for r in out) == sorted(near - bad)
+    assert all(r["exact"] and len(r["ids"]) == r["n_ids"] for r in out)
+    assert 0 < len(out) < docs.count()
+
+
+@pytest.mark.parametrize("name", [n for n, _ in cp.STAGES])
+def test_stages_take_odd_and_empty_tables(spark, sf_dir, odd_docs, empty_docs, name):
+    stage = dict(cp.STAGES)[name]
+    for docs in (odd_docs, empty_docs):
+        out = stage(spark, docs, sf_dir)
+        rows = out.collect()
+        assert len(rows) <= docs.count()
+        if name != cp.STAGES[-1][0]:
+            assert out.columns == docs.columns
+    assert rows == []
+
+
+def test_lookup_with_heavy_and_light_keys(spark):
+    from pyspark.sql import functions as F
+
+    left = spark.range(5000).select("id", F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id")).cast("long").alias("k"))
+    right = left.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("top")).filter("k != 5")
+    out = common.lookup(left, right, "k", "n", 5000, F.xxhash64("id")).collect()
+    assert len(out) == 5000
+    for r in out:
+        want = (2501, 4998) if r["k"] == 7 else (None, None) if r["k"] == 5 else (1, r["k"])
+        assert (r["n"], r["top"]) == want
+
+
+def test_bitmap_has_no_misses(spark):
+    from pyspark.sql import functions as F
+
+    keys = spark.range(1000).select(F.xxhash64("id").alias("h"))
+    bits = common.bitmap(keys, "h")
+    marked = common.in_bitmap(spark.range(3000).withColumn("h", F.xxhash64("id")), bits, "h", "maybe")
+    assert marked.filter("id < 1000 and not maybe").count() == 0
+    assert marked.filter("id >= 1000 and maybe").count() < 10
+
+
+def test_memo_is_bounded():
+    memo = common.Memo(len, cap=10)
+    for k in range(30):
+        assert memo[f"w{k}"] == len(f"w{k}")
+        memo.trim()
+        assert len(memo) <= 11
+    memo["x" * 100]
+    assert "x" * 100 not in memo
+
+

@@ -209,3 +209,14 @@ def drop_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     asked = marked.filter("__tm_maybe")
     asked = asked.join(gone, asked[id_col].eqNullSafe(gone["__drop"]), "left_anti")
     return sure.unionByName(asked).select(*docs.columns)
+
+
+def bounded_sample(rows: DataFrame, id_col: str, n_rows: int, limit: int, seed: str) -> DataFrame:
+    """At most ``limit`` of ``n_rows`` rows in the order of a hash of the id.
+
+    The hash first thins the rows to about twice the limit, so that what the
+    partitions send to be merged does not grow with their number."""
+    order = F.xxhash64(id_col, F.lit(seed))
+    share = min(1.0, 2.0 * limit / max(1, n_rows))
+    thin = F.pmod(F.xxhash64(order), F.lit(1 << 20)) < int(share * (1 << 20)) + 1
+    return rows.filter(thin).orderBy(order, id_col).limit(limit)

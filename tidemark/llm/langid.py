@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, bounded_batches, raw_texts, remainder, slices, table, worker_state
+from .common import Memo, bounded_batches, bounded_sample, raw_texts, remainder, slices, table, worker_state
 
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 15
@@ -140,9 +140,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     spark = docs.sparkSession
     usable = docs.select(docs[id_col].alias("__id"), docs[lang_col].alias("__lang"))
     usable = usable.filter((remainder("__id", SPLIT) != HELD_OUT) & F.col("__lang").isNotNull() & F.col("__id").isNotNull())
-    langs = sorted(r[0] for r in usable.select("__lang").distinct().collect())
-    order = F.xxhash64("__id", F.lit("langid"))
-    chosen = [tuple(r) for x in langs for r in usable.filter(F.col("__lang") == x).orderBy(order, "__id").limit(train_rows).collect()]
+    counts = {r["__lang"]: r["n"] for r in usable.groupBy("__lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per language
+    chosen = [tuple(r) for x in sorted(counts) for r in bounded_sample(usable.filter(F.col("__lang") == x), "__id", counts[x], train_rows, "langid").collect()]
     if not chosen:
         return None
     ids = spark.createDataFrame(chosen, "__id long, __lang string")

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, bounded_batches, raw_texts, remainder, slices, table, worker_state
+from .common import Memo, bounded_batches, bounded_sample, raw_texts, remainder, slices, table, worker_state
 
 TOKEN = re.compile(r"[^\W_](?:\S*[^\W_])?")
 BUCKETS = 1 << 17
@@ -236,8 +236,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = known.filter("__id is not null and __y is not null").groupBy("__id").agg(F.max("__y").alias("__y"))
     usable = known.filter(remainder("__id", SPLIT) != HELD_OUT)
     counts = {r["__y"]: r["n"] for r in usable.groupBy("__y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    order = F.xxhash64("__id", F.lit("toxicity"))
-    chosen = [r for v in (0, 1) for r in usable.filter(F.col("__y") == v).orderBy(order, "__id").limit(train_rows).collect()]
+    chosen = [r for v in (0, 1) for r in bounded_sample(usable.filter(F.col("__y") == v), "__id", counts.get(v, 0), train_rows, "toxicity").collect()]
     ids = docs.sparkSession.createDataFrame([tuple(r) for r in chosen], "__id long, __y int")  # 2 * train_rows rows at most
     text = docs.select(docs[id_col].alias("__d"), F.coalesce(docs[text_col], F.lit("")).alias("__t")).filter(F.length("__t") <= train_chars)
     rows = text.join(F.broadcast(ids), F.col("__d") == F.col("__id")).select("__id", "__t", "__y").dropDuplicates(["__id"]).collect()
@@ -274,7 +273,7 @@ def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text"
 
     def run(frames):
         for b in slices(frames):
-            p = [1 / (1 + math.exp(-max(-700.0, min(700.0, z)))) for z in logits(raw_texts(b.column(1)))]
+            p = [0.0 if z < -700 else 1 / (1 + math.exp(-z)) for z in logits(raw_texts(b.column(1)))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p, pa.float64())], ["doc_id", "score"])
 
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, "doc_id long, score double")

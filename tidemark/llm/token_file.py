@@ -72,8 +72,8 @@ class WordEncoder:
         self.whole.encode_special_tokens = True
         self.model = self.whole.model
         self.letters = _byte_letters()
-        self.pieces = Memo(self._piece, 150_000)
-        self.words = Memo(self._word, 300_000)
+        self.pieces = Memo(self._piece, 300_000)
+        self.words = Memo(self._word, 800_000)
 
     def _piece(self, piece: str) -> bytes:
         coded = piece.encode().decode("latin-1").translate(self.letters)

@@ -23,6 +23,13 @@ def test_word_cache_equals_the_library(text):
     assert np.frombuffer(CODER.encode(text.encode()), "<u4").tolist() == _ids(text)
 
 
+def test_added_tokens_in_the_text_equal_the_library():
+    library = Tokenizer.from_file(token_file.default_vocabulary())
+    marks = ("<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext|")
+    for text in [f for m in marks for f in (m, f"end here {m} next", f"a{m}b", f"{m}{m} é{m}日本", f"it's{m}'s\n{m}")]:
+        assert np.frombuffer(CODER.encode(text.encode()), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def _brute(rows):
     out, start = [], 0
     for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):

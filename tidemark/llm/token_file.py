@@ -19,7 +19,8 @@ Encoding speed: the vocabulary's own normaliser and splitter never join text
 across ASCII white space, so a text is encoded word by word and repeated words
 come from a bounded cache. A miss over plain Latin letters, digits and ASCII
 signs is cut by the documented split rule and given to the library's BPE
-model; any other word goes through the library's whole pipeline.
+model; any other word, and any that holds an added token's text, goes through
+the library's whole pipeline with its defaults.
 
 Defined cases: null text is empty and gives only the end id; ties of one id
 are ordered by text; null ids come first; extra columns are ignored; an empty
@@ -69,8 +70,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
         self.model = self.whole.model
+        added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) or "(?!)")
         self.letters = _byte_letters()
         self.pieces = Memo(self._piece, 300_000)
         self.words = Memo(self._word, 800_000)
@@ -81,7 +83,7 @@ class WordEncoder:
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "replace")
-        if PLAIN.fullmatch(text):
+        if PLAIN.fullmatch(text) and not self.added.search(text):
             return b"".join(map(self.pieces.__getitem__, SPLIT.findall(text.lower())))
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 

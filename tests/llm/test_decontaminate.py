@@ -20,6 +20,15 @@ def test_reparameterised_question(spark, docs_of):
     assert not {4, 5, 6} & set(got)
 
 
+def test_items_of_one_template_keep_their_slots(spark, docs_of):
+    item = "a farmer sold us {} apples and then gave {} pears to every child that came"
+    bench = _bench(spark, [(1, item.format(3, 3), 0, ""), (2, item.format(3, 5), 0, ""), (3, item.format(3, 5), 0, "")])
+    docs = docs_of([(1, "x. " + item.format(3, 5) + " z"), (2, "x. " + item.format(4, 4) + " z")])
+    got = sorted((r["doc_id"], r["item_id"], r["n_changed"]) for r in dc.contaminated(docs, bench).collect())
+    assert (1, 2, 0) in got and not {(1, 1), (1, 3)} & {g[:2] for g in got}
+    assert {g[:2] for g in got if g[0] == 2} >= {(2, 1)}
+
+
 def test_exact_passage_and_repeats(spark, docs_of, odd_docs):
     text = "thble er onand thes inan orer the whand of inth eron thst an erha"
     docs = docs_of([(1, f"Some start. {text} and end"), (1, f"Some start. {text} and end"), (2, text.upper().replace(" ", " | ")), (None, text), (3, text[:30])])

@@ -17,7 +17,7 @@ as a shuffle join.
 Defined cases: null texts and texts under the smallest window match nothing;
 items of 5 to 7 words are one window of their own length, shorter items match
 nothing; a window of more than half placeholders is not used; items with one
-text report under their smallest id; rows repeated with one id count as one
+template and the same slot values report under their smallest id; rows repeated with one id count as one
 document; a null id is reported as null; extra columns are ignored.
 """
 
@@ -85,8 +85,8 @@ def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: s
     number of usable windows of its item."""
     items = benchmark.select(benchmark[id_col].alias("item"), marked(benchmark[text_col]).alias("mt"))
     items = items.withColumn("words", template(F.col("mt"))).filter(F.size("words") >= SHORTEST)
-    items = items.groupBy("words").agg(F.min_by("mt", "item").alias("mt"), F.min("item").alias("item"))
-    items = items.withColumn("size", F.least(F.size("words"), F.lit(window))).withColumn("slots", values(F.col("mt")))
+    items = items.groupBy("words", values(F.col("mt")).alias("slots")).agg(F.min("item").alias("item"))
+    items = items.withColumn("size", F.least(F.size("words"), F.lit(window)))
     places = F.sequence(F.lit(0), F.size("words") - F.col("size"))
     rows = items.select("item", "size", "words", "slots", F.explode(places).alias("place"))
     part = F.slice("words", F.col("place") + 1, F.col("size"))

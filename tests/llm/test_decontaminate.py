@@ -29,6 +29,16 @@ def test_items_of_one_template_keep_their_slots(spark, docs_of):
     assert {g[:2] for g in got if g[0] == 2} >= {(2, 1)}
 
 
+def test_verbatim_copies_whatever_surrounds_them(spark, docs_of):
+    short, dense = "What is the capital city of modern France", "Anna 12 Berta 14 Clara 16 Doris 18 Emma 20"
+    names = "the letters of Emma Stone and Mary Ann reached Peter Gray in Old Rome"
+    bench = _bench(spark, [(1, short, 0, ""), (2, dense, 0, ""), (3, names, 0, "")])
+    near = "Anna 12 Berta 14 Clara 16 Doris 18 Emma 21"
+    docs = docs_of([(1, "Question: " + short), (2, f"see {dense} here"), (3, names.lower()), (4, names.upper()), (5, names.replace(" ", "\n")), (6, near), (7, "nothing of it")])
+    got = {(r["doc_id"], r["item_id"]) for r in dc.contaminated(docs, bench).collect()}
+    assert got == {(1, 1), (2, 2), (3, 3), (4, 3), (5, 3)}
+
+
 def test_exact_passage_and_repeats(spark, docs_of, odd_docs):
     text = "thble er onand thes inan orer the whand of inth eron thst an erha"
     docs = docs_of([(1, f"Some start. {text} and end"), (1, f"Some start. {text} and end"), (2, text.upper().replace(" ", " | ")), (None, text), (3, text[:30])])

@@ -8,6 +8,11 @@ the benchmark's windows; a document is contaminated by an item if windows at
 alignment, the slots are consistent: each of the item's slot values stands for
 one value of the document wherever it recurs.
 
+Beside the templates, windows of plain lower-cased words find verbatim copies
+whatever their case, line breaks or preceding words: ``COVER`` of an item's
+plain windows, or all of them if no template window of the item is usable.
+Pairs that only these find are reported with their counts and without slots.
+
 Everything is a DataFrame expression: regular expressions, array functions, a
 hash join on 64-bit window hashes, grouped aggregates. Texts are not shuffled;
 only matching windows leave the scan. The benchmark side is broadcast up to
@@ -16,7 +21,7 @@ as a shuffle join.
 
 Defined cases: null texts and texts under the smallest window match nothing;
 items of 5 to 7 words are one window of their own length, shorter items match
-nothing; a window of more than half placeholders is not used; items with one
+nothing; a template window of more than half placeholders is not used; items with one
 template and the same slot values report under their smallest id; rows repeated with one id count as one
 document; a null id is reported as null; extra columns are ignored.
 """
@@ -76,27 +81,53 @@ def values(marked_text: Column) -> Column:
     return F.transform(words, lambda w: F.when(w.rlike(f"^{PLACEHOLDER}"), bare(w)).otherwise(""))
 
 
+def plain(text: Column) -> Column:
+    """Array of lower-cased words and numbers."""
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
+
+
+def _literal(words: Column) -> Column:
+    """How many words are no placeholders."""
+    return F.size(F.filter(words, lambda w: ~w.rlike(f"^{PLACEHOLDER}")))
+
+
 def _hash(words: Column, at: Column, size: Column | int) -> Column:
     return F.xxhash64(F.slice(words, at + 1, size))
 
 
+def _items(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
+    """(item, words, slots, text, size, places) of the different items."""
+    items = benchmark.select(benchmark[id_col].alias("item"), benchmark[text_col].alias("text"), marked(benchmark[text_col]).alias("mt"))
+    items = items.withColumn("words", template(F.col("mt"))).filter(F.size("words") >= SHORTEST)
+    items = items.groupBy("words", values(F.col("mt")).alias("slots")).agg(F.min("item").alias("item"), F.min_by("text", "item").alias("text"))
+    items = items.withColumn("size", F.least(F.size("words"), F.lit(window)))
+    return items.withColumn("places", F.sequence(F.lit(0), F.size("words") - F.col("size")))
+
+
 def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """(size, hash, item, place, slot values) of every usable window, and the
     number of usable windows of its item."""
-    items = benchmark.select(benchmark[id_col].alias("item"), marked(benchmark[text_col]).alias("mt"))
-    items = items.withColumn("words", template(F.col("mt"))).filter(F.size("words") >= SHORTEST)
-    items = items.groupBy("words", values(F.col("mt")).alias("slots")).agg(F.min("item").alias("item"))
-    items = items.withColumn("size", F.least(F.size("words"), F.lit(window)))
-    places = F.sequence(F.lit(0), F.size("words") - F.col("size"))
-    rows = items.select("item", "size", "words", "slots", F.explode(places).alias("place"))
+    items = _items(benchmark, id_col, text_col, window)
+    rows = items.select("item", "size", "words", "slots", F.explode("places").alias("place"))
     part = F.slice("words", F.col("place") + 1, F.col("size"))
-    literal = F.size(F.filter(part, lambda w: ~w.rlike(f"^{PLACEHOLDER}")))
-    rows = rows.filter(literal * 2 >= F.col("size"))
+    rows = rows.filter(_literal(part) * 2 >= F.col("size"))
     rows = rows.select("item", "size", "place", _hash(F.col("words"), F.col("place"), F.col("size")).alias("hash"), F.slice("slots", F.col("place") + 1, F.col("size")).alias("slots"))
     counts = rows.groupBy("item").agg(F.count(F.lit(1)).alias("n_item"))
     return rows.join(counts, "item")
 
 
+def plain_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, cover: float = COVER) -> DataFrame:
+    """(size, hash, item, place, n_item, need) of every window of plain words;
+    ``need``: how many of the item's must be found."""
+    items = _items(benchmark, id_col, text_col, window)
+    usable = F.exists("places", lambda at: _literal(F.slice("words", at + 1, F.col("size"))) * 2 >= F.col("size"))
+    items = items.select("item", usable.alias("usable"), plain(F.col("text")).alias("words")).filter(F.size("words") >= SHORTEST)
+    items = items.withColumn("size", F.least(F.size("words"), F.lit(window))).withColumn("n_item", (F.size("words") - F.col("size") + 1).cast("long"))
+    need = F.when(F.col("usable"), F.col("n_item") * F.lit(cover)).otherwise(F.col("n_item").cast("double"))
+    rows = items.select("item", "size", "words", "n_item", need.alias("need"), F.explode(F.sequence(F.lit(0), F.size("words") - F.col("size"))).alias("place"))
+    return rows.select("item", "size", "place", "n_item", "need", _hash(F.col("words"), F.col("place"), F.col("size")).alias("hash"))
+
+
 def _windows(size: int) -> Column:
     """Array of (size, position, hash) of a document's windows of one size."""
 
@@ -107,21 +138,36 @@ def _windows(size: int) -> Column:
     return F.when(F.size("words") >= size, F.transform(places, one)).otherwise(F.array())
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per pair of equal template windows."""
-    bench = materialize(benchmark_windows(benchmark), "bench-windows")
+def _joined(source: DataFrame, bench: DataFrame) -> DataFrame:
+    """Rows of ``source`` (with ``words``) and ``bench`` of equal windows."""
     shape = bench.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 4 rows
     sizes, total = sorted(r["size"] for r in shape) or [WINDOW], sum(r["n"] for r in shape)
-    source = docs.select(docs[id_col].alias("doc"), marked(docs[text_col]).alias("mt")).withColumn("words", template(F.col("mt")))
     each = [_windows(n) for n in sizes]
-    windows = source.select("doc", "mt", F.explode(F.concat(*each) if len(each) > 1 else each[0]).alias("w"))
+    kept = [c for c in source.columns if c != "words"]
+    windows = source.select(*kept, F.explode(F.concat(*each) if len(each) > 1 else each[0]).alias("w"))
     side = F.broadcast(bench) if total <= BROADCAST_WINDOWS else bench
-    joined = windows.join(side, (F.col("w.dhash") == F.col("hash")) & (F.col("w.dsize") == F.col("size")))
+    return windows.join(side, (F.col("w.dhash") == F.col("hash")) & (F.col("w.dsize") == F.col("size")))
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per pair of equal template windows."""
+    bench = materialize(benchmark_windows(benchmark), "bench-windows")
+    source = docs.select(docs[id_col].alias("doc"), marked(docs[text_col]).alias("mt")).withColumn("words", template(F.col("mt")))
+    joined = _joined(source, bench)
     has_slot = F.exists("slots", lambda v: v != "")
     found = F.when(has_slot, F.slice(values(F.col("mt")), F.col("w.pos") + 1, F.col("size")))
     return joined.select("doc", "item", "place", "n_item", F.col("w.pos").alias("pos"), "slots", found.alias("found"))
 
 
+def verbatim(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", cover: float = COVER) -> DataFrame:
+    """(doc, item, n_windows, n_item_windows) of items found in plain words."""
+    bench = materialize(plain_windows(benchmark, cover=cover), "bench-plain")
+    joined = _joined(docs.select(docs[id_col].alias("doc"), plain(docs[text_col]).alias("words")), bench)
+    found = joined.groupBy("doc", "item", "place").agg(F.min("n_item").alias("n_item"), F.min("need").alias("need"))
+    found = found.groupBy("doc", "item").agg(F.count(F.lit(1)).alias("n_windows"), F.min("n_item").alias("n_item_windows"), F.min("need").alias("need"))
+    return found.filter("n_windows >= need").drop("need")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", cover: float = COVER) -> DataFrame:
     """doc_id, item_id, n_windows, n_item_windows, n_slots, n_changed of every
     contaminated (document, item)."""
@@ -139,7 +185,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     best = best.select(F.col("doc").alias("bdoc"), F.col("item").alias("bitem"), F.col("b.col1").alias("share"), F.col("b.n").alias("n_slots"), (-F.col("b.col3")).alias("n_changed"))
     both = covered.join(best, covered["doc"].eqNullSafe(best["bdoc"]) & (covered["item"] == best["bitem"]), "left")
     kept = both.filter(F.col("share").isNull() | (F.col("share") == 1.0))
-    return kept.select(
+    kept = kept.select(
         F.col("doc").alias("doc_id"),
         F.col("item").alias("item_id"),
         "n_windows",
@@ -147,6 +193,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         F.coalesce("n_slots", F.lit(0)).cast("long").alias("n_slots"),
         F.coalesce("n_changed", F.lit(0)).cast("long").alias("n_changed"),
     )
+    kept = materialize(kept, "bench-kept")
+    known = kept.select(F.col("doc_id").alias("bdoc"), F.col("item_id").alias("bitem"))
+    copies = materialize(verbatim(docs, benchmark, id_col, text_col, cover), "bench-verbatim")
+    copies = copies.join(known, copies["doc"].eqNullSafe(known["bdoc"]) & (copies["item"] == known["bitem"]), "left_anti")
+    none = F.lit(0).cast("long")
+    return kept.unionByName(copies.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "n_windows", "n_item_windows", none.alias("n_slots"), none.alias("n_changed")))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -50,6 +50,16 @@ def test_long_text_does_not_bury_an_insult(spark, model):
     assert got[1] >= toxicity.THRESHOLD > got[2]
 
 
+def test_words_seen_earlier_count_again(spark, model):
+    clean = " ".join(NEUTRAL)
+    spread = f"{clean} vexhole {clean} grimwart {clean} plunkard {clean} "
+    rows = [(1, spread), (2, spread + "vexhole grimwart plunkard vexhole grimwart plunkard vexhole grimwart"), (3, clean), (4, "vexhole"), (5, "vexhole vexhole vexhole")]
+    got = _scores(spark, model, rows)
+    assert got[2] > got[1] and got[5] > got[4] > got[3]
+    passages = [toxicity.tokens((clean + " " + clean).encode())[at] for at in toxicity.passage_starts(2 * len(NEUTRAL))]
+    assert len(toxicity.tokens((clean + " " + clean).encode())) == 2 * len(NEUTRAL) and len(passages) == 2 * len(NEUTRAL) // toxicity.PASSAGE
+
+
 def test_odd_rows(spark, model, odd_docs, empty_docs):
     got = toxicity.score(odd_docs, model).collect()
     assert len(got) == odd_docs.count()

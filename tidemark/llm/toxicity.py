@@ -18,7 +18,7 @@ class rates of all labelled rows.
 
 The dense softmax over averages is linear, so inference folds embeddings and
 output weights into one number per hash bucket (512 KB, a fixed size). A
-token counts once per text, at its first place.
+token counts wherever it occurs, in training as in scoring.
 
 Defined cases: null or token-free texts score the bias alone; rows repeated
 score alike; null labels are no labels, contradicting labels count as toxic;
@@ -53,8 +53,8 @@ SPLIT, HELD_OUT = 4, 2
 
 
 def tokens(text: bytes) -> list[str]:
-    """Distinct tokens of a text, in the order of their first occurrence."""
-    return list(dict.fromkeys(TOKEN.findall(text.decode("utf-8", "replace").lower())))
+    """All tokens of a text, in text order."""
+    return TOKEN.findall(text.decode("utf-8", "replace").lower())
 
 
 def grams(token: str) -> list[int]:

@@ -38,6 +38,19 @@ def test_odd_markup(html, want):
     assert ht.extract(html, None) == want
 
 
+def test_shorter_parts_of_an_article_stay():
+    long, short = "l" * 700, "s" * 150
+    page = f"<body><div class=b><div class=s><p>{long}</p></div><div class=s><p>{short}</p></div></div><div class=b2><p>other</p></div>"
+    assert ht.extract(page, "/html/body/div.b/div.s") == f"{long}\n{short}"
+    page = f"<body><article><section class=s>{long}</section><section class=s>{short}</section></article><p>after</p>"
+    for path in (ht.vote(page), None):
+        assert ht.extract(page, path) == f"{long}\n{short}"
+    page = f"<body><main><div class=lead>Lead</div><div class=text><p>{long}</p></div><div class=ad>Buy</div></main><div class=x>out</div>"
+    assert ht.extract(page, ht.vote(page)) == f"Lead\n{long}"
+    page = f"<body><main><article><p>{long}</p></article><article><p>{short}</p></article></main>"
+    assert ht.extract(page, None) == long
+
+
 def test_consensus_path_beats_a_pages_own_guess(spark):
     normal = "<body><div class=main-text><p>{0} body text of the page, long enough.</p></div><div class=extra><p>short</p></div>"
     odd = "<body><div class=main-text><p>Only a middling body text here.</p></div><div class=extra><p>An extra block that is somewhat longer than it.</p></div>"

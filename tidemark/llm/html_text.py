@@ -5,9 +5,10 @@
    votes for its *generalised path*: tags and classes from the root, digits in
    class names replaced by ``#``.
 2. Spark sums the votes per host; the path with most votes wins the host.
-3. Each page is read again with its host's path. Containers on that path give
-   the text; a page without one, or where they hold only a small share of the
-   page's own best container, falls back to its own best.
+3. Each page is read again with its host's path. All containers on that path
+   give the text; a page without one, or where together they hold only a small
+   share of the page's own best container, falls back to its own best. What
+   stands beside a chosen container inside one article or main stays too.
 
 The parser is a single pass over tags: comments, scripts and styles are
 skipped as raw text, paragraphs close implicitly, unclosed and truncated
@@ -40,7 +41,7 @@ from .common import bounded_batches, lookup, materialize, raw_texts, slices, tab
 BROADCAST_HOSTS = 20_000
 #: What one level further down is worth in a container's score.
 DECAY = 0.6
-#: Containers on the winning path must hold this share of the best's score.
+#: Containers on the winning path must together hold this share of the best's score.
 SHARE = 0.3
 #: Tags nested deeper than this open no further level; their text still counts.
 DEEPEST = 200
@@ -238,8 +239,9 @@ def extract(html: str, path: str | None) -> str:
     best = _best(scores)
     if best is None:
         return ""
-    on_path = {n for n, s in scores.items() if n.path == path and s >= SHARE * scores[best]}
-    chosen = on_path or {best}
+    on_path = {n for n in scores if n.path == path}
+    chosen = on_path if on_path and sum(scores[n] for n in on_path) >= SHARE * scores[best] else {best}
+    chosen = chosen | {n.parent for n in chosen if n.tag not in ("article", "main") and n.parent is not None and n.parent.inside}
     return "\n".join(text for owner, text, _ in blocks if any(up in chosen for up in owner.ancestors()))
 
 

@@ -14,6 +14,7 @@ Three rules hold everywhere in this subpackage:
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -35,13 +36,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_local: list[str] = []
+
+
 def work_dir(spark: SparkSession) -> str:
-    """The folder the cluster shares; a temporary one where none is named."""
+    """The folder the cluster shares. Only in local mode, where the driver is
+    the one executor, does a temporary folder stand in for an unset one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if not _local:
+        _local.append(tempfile.mkdtemp(prefix="tidemark-"))
+        atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
+    return f"file://{_local[0]}"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -54,11 +63,26 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def _sweep() -> None:
     spark = SparkSession.getActiveSession()
-    for path in _written if spark is not None else ():
-        try:
-            remove(spark, path)
-        except Exception:  # the JVM may be gone already at interpreter exit
-            return
+    try:
+        sweep(spark) if spark is not None else None
+    except Exception:  # the JVM may be gone already at interpreter exit
+        return
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete every table written so far; for long sessions, once the results
+    that read them are stored."""
+    while _written:
+        remove(spark, _written.pop())
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables of ``materialize`` that later written tables replace."""
+    for df in tables:
+        path = getattr(df, "tm_path", None)
+        if path in _written:
+            _written.remove(path)
+            remove(df.sparkSession, path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -73,7 +97,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.tm_path = path
+    return out
 
 
 def ascii_lower(col: Column | str) -> Column:
@@ -117,23 +143,27 @@ def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, total: int,
     return out.select(*left.columns, *picked)
 
 
-#: Words of the membership bitmap: 2**17 rows of 64 bits whatever the input.
-BITMAP_WORDS = 1 << 17
+#: Words of 64 bits in a membership bitmap: at least, at most (8 MB of bits).
+BITMAP_LEAST, BITMAP_MOST = 1 << 12, 1 << 20
 
 
-def bitmap(keys: DataFrame, key: str) -> DataFrame:
-    """A membership bitmap of fixed size (at most ``BITMAP_WORDS`` rows) over
-    a long hash column. False positives are possible, misses are not."""
-    slot = F.pmod(F.col(key), F.lit(BITMAP_WORDS * 64))
-    return keys.groupBy(F.floor(slot / 64).cast("int").alias("__bw")).agg(
-        F.bit_or(F.expr(f"shiftleft(1L, cast(pmod({key}, 64) as int))")).alias("__bits")
-    )
+def bitmap(keys: DataFrame, key: str, name: str) -> tuple[DataFrame, int]:
+    """A written membership bitmap over a long hash column and its number of
+    words: 16 bits a key and ``BITMAP_MOST`` words at most, so that its
+    broadcast is bounded. False positives are possible (and all that more keys
+    cost), misses are not."""
+    n = keys.count()
+    words = min(BITMAP_MOST, max(BITMAP_LEAST, 1 << max(0, n // 4 - 1).bit_length()))
+    slot = F.pmod(F.col(key), F.lit(words * 64))
+    bits = keys.groupBy(F.floor(slot / 64).cast("int").alias("__bw")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod({key}, 64) as int))")).alias("__bits"))
+    return materialize(bits, name), words
 
 
-def in_bitmap(df: DataFrame, bits: DataFrame, key: str, flag: str) -> DataFrame:
+def in_bitmap(df: DataFrame, bits: tuple[DataFrame, int], key: str, flag: str) -> DataFrame:
     """``df`` with boolean ``flag``: whether the bitmap may hold ``key``."""
-    word = F.floor(F.pmod(F.col(key), F.lit(BITMAP_WORDS * 64)) / 64).cast("int")
-    out = df.join(F.broadcast(bits), word == F.col("__bw"), "left")
+    held, words = bits
+    word = F.floor(F.pmod(F.col(key), F.lit(words * 64)) / 64).cast("int")
+    out = df.join(F.broadcast(held), word == F.col("__bw"), "left")
     hit = F.expr(f"coalesce(shiftright(__bits, cast(pmod({key}, 64) as int)) & 1L, 0L) = 1L")
     return out.withColumn(flag, hit).drop("__bw", "__bits")
 
@@ -203,7 +233,7 @@ def drop_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     name = ids.columns[0]
     gone = ids.select(F.col(name).alias("__drop")).distinct()
     gone = materialize(gone.withColumn("__dk", F.xxhash64("__drop")), "drop-ids")
-    bits = materialize(bitmap(gone, "__dk"), "drop-bits")
+    bits = bitmap(gone, "__dk", "drop-bits")
     marked = in_bitmap(docs.withColumn("__tm_key", F.xxhash64(docs[id_col])), bits, "__tm_key", "__tm_maybe")
     sure = marked.filter("not __tm_maybe")
     asked = marked.filter("__tm_maybe")

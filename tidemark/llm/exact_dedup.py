@@ -44,7 +44,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lengths = keys.groupBy("__len").agg(F.count(F.lit(1)).alias("__n1")).filter("__n1 > 1")
     by_length = lookup(keys, lengths, "__len", "__n1", total, F.xxhash64("__id")).filter("__n1 is not null")
     prefixes = by_length.groupBy("__pk").agg(F.count(F.lit(1)).alias("__n2")).filter("__n2 > 1")
-    bits = materialize(bitmap(prefixes, "__pk"), "dedup-bits")
+    bits = bitmap(materialize(prefixes, "dedup-prefixes"), "__pk", "dedup-bits")
 
     # Round 3: the full hash, for survivors only.
     marked = in_bitmap(source.withColumn("__pk", prefix_key), bits, "__pk", "__maybe")
@@ -88,7 +88,7 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     dropped = materialize(dropped.withColumn("__dk", F.xxhash64("__drop", "full_hash")), "dedup-dropped")
     sha = F.sha2(ascii_lower(text_or_empty(docs[text_col])), 256)
     keyed = docs.withColumn("__tm_sha", sha).withColumn("__tm_key", F.xxhash64(docs[id_col], F.col("__tm_sha")))
-    bits = materialize(bitmap(dropped, "__dk").select("__bw", "__bits"), "dedup-bits")
+    bits = bitmap(dropped, "__dk", "dedup-bits")
     marked = in_bitmap(keyed, bits, "__tm_key", "__tm_maybe")
     sure = marked.filter("not __tm_maybe")
     same = (F.col("__tm_sha") == F.col("full_hash")) & F.col(id_col).eqNullSafe(F.col("__drop"))

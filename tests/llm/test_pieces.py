@@ -1,3 +1,4 @@
+import time
 import zlib
 
 import numpy as np
@@ -53,12 +54,39 @@ def test_viterbi_is_optimal_and_streaming_agrees(chunk):
     assert stream.finish() == ids
 
 
-def test_window_is_bounded():
+@pytest.mark.parametrize("run", ["theation日", "a", " ", "-", "ab", "日"])
+def test_window_is_bounded_and_time_linear(run):
+    """Runs whose paths never meet keep one number per character, no window."""
+    text = run.replace(" ", pieces.MARK) * (200_000 // len(run))
     stream = pieces.StreamingViterbi(V)
-    stream.push("theation日" * 3000)
-    assert stream.peak <= 2 * V.longest
-    assert len(stream.text) <= 2 * V.longest
-    assert len(stream.ids) > 1000  # committed before the end
+    begun = time.process_time()
+    for k in range(0, len(text), 50_000):
+        stream.push(text[k : k + 50_000])
+        assert len(stream.text) < V.longest and len(stream.best) <= V.longest
+    ids = stream.finish()
+    assert time.process_time() - begun < 20
+    assert stream.peak < V.longest
+    assert len(stream.step) == 1
+    assert CODER.decode(np.array(ids, "<u4").tobytes()).decode() in (text.replace(pieces.MARK, " "), text.replace(pieces.MARK, " ")[1:])
+
+
+def test_paths_that_meet_are_committed():
+    stream = pieces.StreamingViterbi(V)
+    stream.push("theation日" * 20_000)
+    assert len(stream.step) < 2 * pieces.SLICE
+    assert stream.ids == pieces.viterbi(V, "theation日" * 20_000)[: len(stream.ids)]
+
+
+def test_whole_texts_equal_a_plain_search():
+    """Every document of the table, over whole texts: the best score of all
+    segmentations, by dynamic programming over the escaped text."""
+    import duckdb
+
+    texts = duckdb.sql("select text from '/root/testdata/sf0.001/documents.parquet' where length(text) < 700 limit 25").fetchall()
+    for (text,) in texts:
+        got = np.frombuffer(CODER.encode(text), "<u4").tolist()
+        assert abs(_score(got) - _brute_score(pieces.MARK + text.replace(" ", pieces.MARK))) < 1e-4
+
 
 
 @pytest.mark.parametrize("text", ["", " ", "\n", "  a  b ", "▁", "a▁ b", "\t\x00", "x" * 5000])

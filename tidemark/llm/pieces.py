@@ -2,22 +2,27 @@
 
 The vocabulary (pieces and scores) comes from a SentencePiece model file; the
 best segmentation is the one with the highest score sum. ``StreamingViterbi``
-reads characters one at a time and retains only a window bounded by the
-longest piece: a backpointer cannot reach further. Whenever the backpointer
-paths of all positions still in the window run through one boundary, the ids
-up to it are committed and everything before it is forgotten.
+takes text slice by slice and retains a window of characters and scores bounded
+by the longest piece: no piece that is still to come starts before it. Whenever
+the backpointer paths of all positions in the window meet in one boundary, the
+ids up to it are committed and forgotten. Between the last commit and the
+window one number (id and length of the piece before it) is kept per character, neither text nor
+scores: on a run such as "aaaa...", whose paths differ in phase to its end,
+they wait for that end. The next look for a boundary comes when twice as many
+wait as after the last one, so the time is linear whether paths meet or not.
 
 White space is escaped as the model does (a leading mark, blanks as U+2581).
 No piece holds a mark after another character, so each word is a boundary on
-which all paths converge; words are therefore searched one at a time, and
-repeated short words come from a bounded cache. Characters without a piece
+which all paths converge; the ids of words come from this search by way of a
+bounded cache of the shorter ones. Characters without a piece
 become byte pieces with the usual penalty below the lowest score, and so does
 a U+2581 that the text itself contains, which makes decoding an exact inverse.
 
 Ties between segmentations go to the longer last piece.
 
 Defined cases: null and empty texts give no ids and decode to the empty text;
-texts of any length and words of any length need memory for their ids only;
+words of any length are searched in bounded slices; a text itself and its ids
+are held while it is encoded;
 other columns are kept or ignored as the function says.
 """
 
@@ -25,6 +30,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +42,8 @@ MARK = "▁"
 #: Penalty of a byte-coded character below the lowest piece score.
 UNKNOWN_PENALTY = 10.0
 MISSING = object()
+#: Characters that the search takes at a time.
+SLICE = 4096
 #: Words of at most 64 characters that a worker's cache holds: 200 MB at most.
 CACHED = 800_000
 CHUNK = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
@@ -59,8 +67,11 @@ class Vocabulary:
         self.ids = {self.pieces[i]: i for i in normal}
         self.scores = {self.pieces[i]: sp.get_score(i) for i in normal}
         self.longest = max(map(len, self.ids), default=1)
-        #: Every prefix of a piece; its score if it is a piece, else None.
-        self.prefixes = {p[:n]: None for p in self.scores for n in range(1, len(p))} | self.scores
+        self.bits = self.longest.bit_length()
+        #: Every prefix of a piece; if it is a piece, its score and its step:
+        #: id and length in one number. Characters without a piece count on
+        #: from the last id.
+        self.prefixes = {p[:n]: None for p in self.scores for n in range(1, len(p))} | {p: (s, self.ids[p] << self.bits | len(p)) for p, s in self.scores.items()}
         floor = min((s for s in self.scores.values() if s > -1e8), default=0.0)
         self.unknown = floor - UNKNOWN_PENALTY
         self.byte_ids = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
@@ -68,98 +79,95 @@ class Vocabulary:
             raise ValueError("the model has no byte pieces")
         self.byte_of = {i: b for b, i in enumerate(self.byte_ids)}
 
-    def coded(self, piece: str) -> list[int]:
-        """Ids of a chosen piece: its own, or its bytes' if it has none."""
-        found = self.ids.get(piece)
-        return [found] if found is not None else [self.byte_ids[b] for b in piece.encode("utf-8", "replace")]
-
 
 class StreamingViterbi:
-    """Best segmentation of a character stream in bounded memory."""
+    """Best segmentation of a character stream."""
+
+    __slots__ = ("v", "text", "best", "at", "step", "look", "ids", "peak")
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.base = 0  # position in the stream of self.text[0]
-        self.text = ""  # characters since the last committed boundary
-        self.best = [0.0]  # score of each position in the window
-        self.back = [0]  # start of the last piece of each position
-        self.peak = 0  # the longest that the window ever was
+        self.text = ""  # characters from the window's start on
+        self.best = [0.0]  # scores of the positions before, between and after them
+        self.at = 0  # the window's start, counted from the last commit
+        self.step = array("q", (0,))  # by position: the piece that ends there
+        self.look = 1  # waiting positions at which to look for a boundary
         self.ids: list[int] = []
+        self.peak = 0  # the longest that the window ever was
 
-    def push(self, chars: str) -> None:
-        v, scores, longest = self.v, self.v.scores, self.v.longest
-        for ch in chars:
-            self.text += ch
-            end = len(self.text)
-            top, start = -1e300, end - 1
-            for at in range(max(0, end - longest), end):
-                s = scores.get(self.text[at:end])
-                if s is None:
-                    if end - at > 1:
-                        continue
-                    s = v.unknown
-                if self.best[at] + s > top:
-                    top, start = self.best[at] + s, at
-            self.best.append(top)
-            self.back.append(start)
-            self.peak = max(self.peak, end)
-            if end >= 2 * longest:
-                self._commit(False)
-
-    def _commit(self, last: bool) -> None:
-        """Emit ids up to the boundary shared by all paths still alive."""
-        end = len(self.text)
-        if last:
-            shared = end
-        else:
-            # positions that a later piece may start at; walk each back until
-            # they meet in one boundary
-            alive = set(range(end - self.v.longest + 1, end + 1))
-            while len(alive) > 1:
-                far = max(alive)
-                alive.discard(far)
-                alive.add(self.back[far])
-            shared = alive.pop()
-        if shared == 0:
-            return
-        cuts = [shared]
-        while cuts[-1]:
-            cuts.append(self.back[cuts[-1]])
-        cuts.reverse()
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            self.ids += self.v.coded(self.text[a:b])
-        self.text = self.text[shared:]
-        self.base += shared
-        self.best = [x - self.best[shared] for x in self.best[shared:]]
-        self.back = [max(0, x - shared) for x in self.back[shared:]]
+    def push(self, chars: str, last: bool = False) -> None:
+        for k in range(0, max(1, len(chars)), SLICE):
+            self._take(chars[k : k + SLICE], last and k + SLICE >= len(chars))
 
     def finish(self) -> list[int]:
-        self._commit(True)
+        self._take("", True)
         return self.ids
 
+    def _take(self, chars: str, last: bool) -> None:
+        v = self.v
+        text = self.text + chars
+        n, find, unknown, offset, step = len(text), v.prefixes.get, v.unknown, self.at, self.step
+        best = self.best
+        best += [-1e300] * (n + 1 - len(best))
+        step.frombytes(bytes(8 * (offset + n + 1 - len(step))))
+        stop = n if last else max(0, n - v.longest + 1)  # pieces from there on are not all seen
+        for at in range(stop):
+            base, end = best[at], at + 1
+            hit = find(text[at:end], MISSING)
+            if (hit is None or hit is MISSING) and base + unknown > best[end]:
+                best[end] = base + unknown
+                step[offset + end] = (len(v.pieces) + ord(text[at])) << v.bits | 1
+            while hit is not MISSING:
+                if hit is not None and base + hit[0] > best[end]:
+                    best[end] = base + hit[0]
+                    step[offset + end] = hit[1]
+                if end == n:
+                    break
+                end += 1
+                hit = find(text[at:end], MISSING)
+        if len(text) - stop > self.peak:
+            self.peak = len(text) - stop
+        self.at = offset + stop
+        if last:
+            self._commit(self.at)
+            self.text, self.best = "", best[stop:]
+            return
+        self.text, self.best = text[stop:], best[stop:]
+        if self.at >= self.look:
+            self._converge()
+
+    def _converge(self) -> None:
+        """Commit up to the boundary that all paths still alive share."""
+        step, mask = self.step, (1 << self.v.bits) - 1
+        alive = {self.at + k for k, score in enumerate(self.best) if score > -1e299}
+        while len(alive) > 1:
+            far = max(alive)
+            alive.discard(far)
+            alive.add(far - (step[far] & mask))
+        self._commit(alive.pop())
+        self.look = max(1, 2 * self.at)
+
+    def _commit(self, shared: int) -> None:
+        """Emit the ids up to a boundary."""
+        v, step, chosen, at = self.v, self.step, [], shared
+        bits, mask, last = v.bits, (1 << v.bits) - 1, len(v.pieces)
+        while at:
+            chosen.append(step[at] >> bits)
+            at -= step[at] & mask
+        for i in reversed(chosen):
+            if i < last:
+                self.ids.append(i)
+            else:
+                self.ids += [v.byte_ids[b] for b in chr(i - last).encode("utf-8", "replace")]
+        if shared:
+            self.step, self.at = step[shared:], self.at - shared
+
 
 def viterbi(v: Vocabulary, chunk: str) -> list[int]:
-    """The same search for a short chunk, whose window is the chunk."""
-    n, prefixes = len(chunk), v.prefixes
-    best, back = [0.0] + [-1e300] * n, [0] * (n + 1)
-    for at in range(n):
-        base, end = best[at], at + 1
-        s = prefixes.get(chunk[at:end], MISSING)
-        if s is None or s is MISSING:
-            if base + v.unknown > best[end]:
-                best[end], back[end] = base + v.unknown, at
-        while s is not MISSING:
-            if s is not None and base + s > best[end]:
-                best[end], back[end] = base + s, at
-            end += 1
-            if end > n:
-                break
-            s = prefixes.get(chunk[at:end], MISSING)
-    cuts = [n]
-    while cuts[-1]:
-        cuts.append(back[cuts[-1]])
-    cuts.reverse()
-    return [i for a, b in zip(cuts, cuts[1:], strict=False) for i in v.coded(chunk[a:b])]
+    """Ids of a chunk."""
+    stream = StreamingViterbi(v)
+    stream.push(chunk, True)
+    return stream.ids
 
 
 class PieceCoder:
@@ -172,13 +180,7 @@ class PieceCoder:
         self.surface = [self._surface(i) for i in range(len(self.v.pieces))]
 
     def _chunk(self, chunk: str) -> bytes:
-        if len(chunk) <= 64:
-            ids = viterbi(self.v, chunk)
-        else:
-            stream = StreamingViterbi(self.v)
-            stream.push(chunk)
-            ids = stream.finish()
-        return np.array(ids, "<u4").tobytes()
+        return np.array(viterbi(self.v, chunk), "<u4").tobytes()
 
     def _surface(self, i: int) -> bytes:
         if i in self.v.byte_of:

@@ -67,10 +67,43 @@ def test_slots_align_with_the_template(spark, docs_of):
 
 def test_plan_is_native(spark, sf_dir):
     docs, bench = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    plan = explain(dc.matches(docs, bench))
+    plan = explain(dc.contaminated(docs, bench))
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
 
 
+def test_slots_are_consistent_both_ways(spark, docs_of):
+    item = "a farmer sold us {} apples and then gave {} pears to every child that came"
+    bench = _bench(spark, [(1, item.format(3, 5), 0, "")])
+    docs = docs_of([(1, item.format(8, 9)), (2, item.format(8, 8))])
+    got = {r["doc_id"]: (r["n_slots"], r["n_changed"]) for r in dc.contaminated(docs, bench).collect()}
+    assert got == {1: (2, 2)}  # in the second, 8 would stand for 3 and for 5
+
+
+def test_coverage_and_slots_hold_on_one_alignment(spark, docs_of):
+    """Two halves of an item far apart are no copy; a word put in is one."""
+    words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(30)]
+    bench = _bench(spark, [(1, " ".join(words), 0, "")])
+    gap = " ".join(f"g{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(100))
+    docs = docs_of([(1, " ".join([*words[:18], gap, *words[12:]])), (2, " ".join([*words[:15], "inserted", *words[15:]]))])
+    got = {r["doc_id"]: r["n_windows"] for r in dc.contaminated(docs, bench).collect()}
+    assert got == {2: 16}
+
+
+def test_items_under_a_window_are_whole_texts(spark, docs_of):
+    bench = _bench(spark, [(1, "Who is Ada?", 0, ""), (2, "Yes", 0, "")])
+    docs = docs_of([(1, "who is ada"), (2, "and who is ada then, yes"), (3, "YES!"), (4, "no")])
+    assert {(r["doc_id"], r["item_id"]) for r in dc.contaminated(docs, bench).collect()} == {(1, 1), (3, 2)}
+
+
+def test_the_shuffle_join_gives_the_same(spark, sf_dir, monkeypatch):
+    docs, bench = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    want = sorted(map(tuple, dc.contaminated(docs, bench).collect()))
+    monkeypatch.setattr(dc, "BROADCAST_WINDOWS", 0)
+    monkeypatch.setattr(dc, "GATE_LEAST", 1)
+    monkeypatch.setattr(dc, "GATE_MOST", 4)  # nearly every place is hashed
+    assert sorted(map(tuple, dc.contaminated(docs, bench).collect())) == want
+
+
 def test_sql(spark, duck, sf_dir):
     got = dc.op5_decontaminate(spark, sf_dir)
     want = duck.sql(f"select {', '.join(got.columns)} from ({dc.ORACLE_SQL})").fetchall()

@@ -3,26 +3,35 @@
 Numbers, units behind numbers and names (capitalised words inside a sentence)
 become typed placeholders, so a question whose parameters were changed keeps
 its template. Windows of ``WINDOW`` template words are hashed and joined with
-the benchmark's windows; a document is contaminated by an item if windows at
-``COVER`` of the item's window places or more are found and, along one
-alignment, the slots are consistent: each of the item's slot values stands for
-one value of the document wherever it recurs.
+the benchmark's windows. Matches of a document and an item are sorted into
+bands of diagonals (``BAND`` words wide, overlapping by half), each one an
+alignment. An alignment contaminates if it finds windows at ``COVER`` of the
+item's window places or more and, within it, the slots are consistent: each of
+the item's slot values stands for one value of the document wherever it
+recurs, and each value of the document for one of the item's.
 
 Beside the templates, windows of plain lower-cased words find verbatim copies
 whatever their case, line breaks or preceding words: ``COVER`` of an item's
-plain windows, or all of them if no template window of the item is usable.
-Pairs that only these find are reported with their counts and without slots.
+plain windows in one alignment, or all of them if no template window of the
+item is usable. Pairs that only these find are reported with their counts and
+without slots.
 
 Everything is a DataFrame expression: regular expressions, array functions, a
-hash join on 64-bit window hashes, grouped aggregates. Texts are not shuffled;
-only matching windows leave the scan. The benchmark side is broadcast up to
-``BROADCAST_WINDOWS`` windows (counted first); beyond that the same join runs
-as a shuffle join.
+hash join on 64-bit window hashes, grouped aggregates. Texts are not shuffled.
+A bitmap over the first and last words of the benchmark's windows (at most
+``GATE_MOST`` words of 64 bits, a literal of the plan) decides inside the scan
+which places of a text are hashed and leave it; a false hit costs one hash.
+The benchmark's windows are broadcast up to ``BROADCAST_WINDOWS`` of them
+(counted first; 24 bytes each); beyond that the same join is a shuffle join of
+(document, place, hash), which AQE splits where a window is frequent, and the
+slot values of the matches are read in a second scan of their documents.
 
 Defined cases: null texts and texts under the smallest window match nothing;
-items of 5 to 7 words are one window of their own length, shorter items match
-nothing; a template window of more than half placeholders is not used; items with one
-template and the same slot values report under their smallest id; rows repeated with one id count as one
+items of 5 to 7 words are one window of their own length; items of 1 to 4
+words are found where they are the whole text, as anything shorter than a
+window would be found in clean text too; a template window of more than half
+placeholders is not used; items with one template and the same slot values
+report under their smallest id; rows repeated with one id count as one
 document; a null id is reported as null; extra columns are ignored.
 """
 
@@ -31,12 +40,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_ids, materialize, table
+from .common import bitmap, drop_ids, in_bitmap, materialize, table
 
 WINDOW = 8
 SHORTEST = 5
 COVER = 0.5
+BAND = 32
 BROADCAST_WINDOWS = 500_000
+#: Words of 64 bits in the bitmap of places worth a hash: at least, at most.
+GATE_LEAST, GATE_MOST = 1 << 12, 1 << 16
 
 #: Units that follow a number.
 UNITS = (
@@ -77,7 +89,7 @@ def template(marked_text: Column) -> Column:
 def values(marked_text: Column) -> Column:
     """Array aligned with ``template``: a slot's value, else ''."""
     words = F.regexp_extract_all(marked_text, F.lit(WORD), F.lit(0))
-    bare = lambda w: F.lower(F.regexp_replace(F.substring(w, 2, 1 << 20), "[.,]+$", ""))
+    bare = lambda w: F.lower(F.regexp_replace(F.substring(w, 2, 0x7FFFFFFF), "[.,]+$", ""))
     return F.transform(words, lambda w: F.when(w.rlike(f"^{PLACEHOLDER}"), bare(w)).otherwise(""))
 
 
@@ -95,110 +107,148 @@ def _hash(words: Column, at: Column, size: Column | int) -> Column:
     return F.xxhash64(F.slice(words, at + 1, size))
 
 
-def _items(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
-    """(item, words, slots, text, size, places) of the different items."""
+def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(item, words, slots, text) of the different items."""
     items = benchmark.select(benchmark[id_col].alias("item"), benchmark[text_col].alias("text"), marked(benchmark[text_col]).alias("mt"))
-    items = items.withColumn("words", template(F.col("mt"))).filter(F.size("words") >= SHORTEST)
-    items = items.groupBy("words", values(F.col("mt")).alias("slots")).agg(F.min("item").alias("item"), F.min_by("text", "item").alias("text"))
-    items = items.withColumn("size", F.least(F.size("words"), F.lit(window)))
-    return items.withColumn("places", F.sequence(F.lit(0), F.size("words") - F.col("size")))
-
-
-def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """(size, hash, item, place, slot values) of every usable window, and the
-    number of usable windows of its item."""
-    items = _items(benchmark, id_col, text_col, window)
-    rows = items.select("item", "size", "words", "slots", F.explode("places").alias("place"))
-    part = F.slice("words", F.col("place") + 1, F.col("size"))
-    rows = rows.filter(_literal(part) * 2 >= F.col("size"))
-    rows = rows.select("item", "size", "place", _hash(F.col("words"), F.col("place"), F.col("size")).alias("hash"), F.slice("slots", F.col("place") + 1, F.col("size")).alias("slots"))
-    counts = rows.groupBy("item").agg(F.count(F.lit(1)).alias("n_item"))
-    return rows.join(counts, "item")
+    items = items.withColumn("words", template(F.col("mt"))).filter(F.size("words") > 0)
+    return items.groupBy("words", values(F.col("mt")).alias("slots")).agg(F.min("item").alias("item"), F.min_by("text", "item").alias("text"))
+
+
+def _placed(items: DataFrame, window: int) -> DataFrame:
+    """One row per window place of items of ``SHORTEST`` words or more."""
+    items = items.filter(F.size("words") >= SHORTEST).withColumn("size", F.least(F.size("words"), F.lit(window)))
+    rows = items.withColumn("place", F.explode(F.sequence(F.lit(0), F.size("words") - F.col("size"))))
+    return rows.withColumn("gate", _gate(F.col("words"), F.col("place"), F.col("size"))).withColumn("hash", _hash(F.col("words"), F.col("place"), F.col("size")))
 
 
-def plain_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, cover: float = COVER) -> DataFrame:
-    """(size, hash, item, place, n_item, need) of every window of plain words;
-    ``need``: how many of the item's must be found."""
-    items = _items(benchmark, id_col, text_col, window)
-    usable = F.exists("places", lambda at: _literal(F.slice("words", at + 1, F.col("size"))) * 2 >= F.col("size"))
-    items = items.select("item", usable.alias("usable"), plain(F.col("text")).alias("words")).filter(F.size("words") >= SHORTEST)
-    items = items.withColumn("size", F.least(F.size("words"), F.lit(window))).withColumn("n_item", (F.size("words") - F.col("size") + 1).cast("long"))
-    need = F.when(F.col("usable"), F.col("n_item") * F.lit(cover)).otherwise(F.col("n_item").cast("double"))
-    rows = items.select("item", "size", "words", "n_item", need.alias("need"), F.explode(F.sequence(F.lit(0), F.size("words") - F.col("size"))).alias("place"))
-    return rows.select("item", "size", "place", "n_item", "need", _hash(F.col("words"), F.col("place"), F.col("size")).alias("hash"))
+def _usable(words: Column, place: Column, size: Column) -> Column:
+    return _literal(F.slice(words, place + 1, size)) * 2 >= size
 
 
-def _windows(size: int) -> Column:
-    """Array of (size, position, hash) of a document's windows of one size."""
+def benchmark_windows(items: DataFrame, window: int = WINDOW, cover: float = COVER) -> DataFrame:
+    """(size, gate, hash, item, place, n_item, need, slots) of every usable
+    template window; ``n_item``: how many its item has, ``need``: how many of
+    them must be found, ``slots``: the item's values in the window."""
+    rows = _placed(items, window).filter(_usable(F.col("words"), F.col("place"), F.col("size")))
+    counts = rows.groupBy("item").agg(F.count(F.lit(1)).alias("n_item"))
+    rows = rows.select("item", "size", "place", "gate", "hash", F.slice("slots", F.col("place") + 1, F.col("size")).alias("slots"))
+    return rows.join(counts, "item").withColumn("need", F.col("n_item") * F.lit(cover))
+
 
-    def one(at: Column) -> Column:
-        return F.struct(F.lit(size).alias("dsize"), at.alias("pos"), _hash(F.col("words"), at, size).alias("dhash"))
+def plain_windows(items: DataFrame, window: int = WINDOW, cover: float = COVER) -> DataFrame:
+    """The same of every window of plain words, without slots."""
+    size = F.least(F.size("words"), F.lit(window))
+    usable = F.exists(F.sequence(F.lit(0), F.size("words") - size), lambda at: _usable(F.col("words"), at, size))
+    some = (F.size("words") >= SHORTEST) & usable
+    rows = _placed(items.select("item", some.alias("usable"), plain(F.col("text")).alias("words")), window)
+    n = (F.size("words") - F.col("size") + 1).cast("long")
+    return rows.select("item", "size", "place", "gate", "hash", n.alias("n_item"), F.when(F.col("usable"), n * F.lit(cover)).otherwise(n.cast("double")).alias("need"))
 
-    places = F.sequence(F.lit(0), F.size("words") - size)
-    return F.when(F.size("words") >= size, F.transform(places, one)).otherwise(F.array())
 
+def _gate(words: Column, at: Column, size: Column | int) -> Column:
+    """What a place must have in common with a window to be worth its hash."""
+    return F.xxhash64(F.get(words, at), F.get(words, at + size - 1))
 
-def _joined(source: DataFrame, bench: DataFrame) -> DataFrame:
-    """Rows of ``source`` (with ``words``) and ``bench`` of equal windows."""
+
+def _found(source: DataFrame, bench: DataFrame) -> DataFrame:
+    """(doc, pos, windows of ``bench``) of equal windows; ``source``: (doc, words)."""
     shape = bench.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 4 rows
-    sizes, total = sorted(r["size"] for r in shape) or [WINDOW], sum(r["n"] for r in shape)
-    each = [_windows(n) for n in sizes]
-    kept = [c for c in source.columns if c != "words"]
-    windows = source.select(*kept, F.explode(F.concat(*each) if len(each) > 1 else each[0]).alias("w"))
+    total = sum(r["n"] for r in shape)
+    many = min(GATE_MOST, max(GATE_LEAST, 1 << max(0, total // 8 - 1).bit_length()))
+    slot = lambda gate: F.pmod(gate, F.lit(many * 64))
+    bit = lambda gate: slot(gate).bitwiseAND(63).cast("int")
+    word = lambda gate: F.floor(slot(gate) / 64).cast("int")
+    gate = F.col("gate")
+    held = bench.groupBy(word(gate).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit(gate))).alias("bits"))
+    bits = [0] * many
+    for r in held.collect():  # at most GATE_MOST rows
+        bits[r["w"]] = r["bits"]
+    table = F.from_json(F.lit(str(bits)), "array<bigint>")
+
+    def windows(size: int) -> Column:
+        places = F.sequence(F.lit(0), F.size("words") - size)
+        hit = lambda at: F.call_function("shiftright", F.get(table, word(_gate(F.col("words"), at, size))), bit(_gate(F.col("words"), at, size))).bitwiseAND(1) == 1
+        one = lambda at: F.struct(F.lit(size).alias("dsize"), at.alias("pos"), _hash(F.col("words"), at, size).alias("dhash"))
+        return F.when(F.size("words") >= size, F.transform(F.filter(places, hit), one)).otherwise(F.array())
+
+    each = [windows(n) for n in sorted(r["size"] for r in shape) or [WINDOW]]
+    rows = source.select("doc", F.explode(F.concat(*each) if len(each) > 1 else each[0]).alias("w")).select("doc", "w.*")
     side = F.broadcast(bench) if total <= BROADCAST_WINDOWS else bench
-    return windows.join(side, (F.col("w.dhash") == F.col("hash")) & (F.col("w.dsize") == F.col("size")))
+    return rows.join(side, (F.col("dhash") == F.col("hash")) & (F.col("dsize") == F.col("size"))).drop("dhash", "dsize", "hash", "gate")
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per pair of equal template windows."""
-    bench = materialize(benchmark_windows(benchmark), "bench-windows")
-    source = docs.select(docs[id_col].alias("doc"), marked(docs[text_col]).alias("mt")).withColumn("words", template(F.col("mt")))
-    joined = _joined(source, bench)
-    has_slot = F.exists("slots", lambda v: v != "")
-    found = F.when(has_slot, F.slice(values(F.col("mt")), F.col("w.pos") + 1, F.col("size")))
-    return joined.select("doc", "item", "place", "n_item", F.col("w.pos").alias("pos"), "slots", found.alias("found"))
+def _banded(hit: DataFrame) -> DataFrame:
+    """Every match in the two bands of diagonals that it belongs to."""
+    line = (F.col("pos") - F.col("place")) / float(BAND)
+    bands = [F.struct(F.lit(k).alias("grid"), F.floor(line + k / 2).alias("at")) for k in range(2)]
+    return hit.withColumn("band", F.explode(F.array(*bands)))
 
 
-def verbatim(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", cover: float = COVER) -> DataFrame:
-    """(doc, item, n_windows, n_item_windows) of items found in plain words."""
-    bench = materialize(plain_windows(benchmark, cover=cover), "bench-plain")
-    joined = _joined(docs.select(docs[id_col].alias("doc"), plain(docs[text_col]).alias("words")), bench)
-    found = joined.groupBy("doc", "item", "place").agg(F.min("n_item").alias("n_item"), F.min("need").alias("need"))
-    found = found.groupBy("doc", "item").agg(F.count(F.lit(1)).alias("n_windows"), F.min("n_item").alias("n_item_windows"), F.min("need").alias("need"))
+def _covered(hit: DataFrame) -> DataFrame:
+    """(doc, item, band, n_windows, n_item) of the bands with enough places."""
+    places = hit.groupBy("doc", "item", "band", "place").agg(F.min("n_item").alias("n_item"), F.min("need").alias("need"))
+    found = places.groupBy("doc", "item", "band").agg(F.count(F.lit(1)).alias("n_windows"), F.min("n_item").alias("n_item"), F.min("need").alias("need"))
     return found.filter("n_windows >= need").drop("need")
 
 
+def _slots(docs: DataFrame, hit: DataFrame) -> DataFrame:
+    """(doc, item, band, n_slots, n_changed, ok) of alignments with slots.
+    ``docs``: (doc, text); only documents in ``hit`` are marked again."""
+    wanted = hit.filter(F.exists("slots", lambda v: v != "")).select("doc", "item", "band", "pos", "size", "slots")
+    wanted = materialize(wanted, "bench-slots")
+    ids = wanted.select(F.col("doc").alias("id")).distinct()
+    bits = bitmap(ids.withColumn("__dk", F.xxhash64("id")), "__dk", "bench-ids")
+    texts = in_bitmap(docs.withColumn("__dk", F.xxhash64("doc")), bits, "__dk", "__maybe").filter("__maybe")
+    texts = texts.select(F.col("doc").alias("id"), values(marked(F.col("text"))).alias("v"))
+    pairs = wanted.join(texts, wanted["doc"].eqNullSafe(texts["id"])).select("doc", "item", "band", "slots", F.slice("v", F.col("pos") + 1, F.col("size")).alias("found"))
+    pairs = pairs.select("doc", "item", "band", F.explode(F.arrays_zip("slots", "found")).alias("p")).filter("p.slots != ''")
+    pairs = pairs.select("doc", "item", "band", F.col("p.slots").alias("theirs"), F.coalesce("p.found", F.lit("")).alias("ours")).distinct()
+    once = lambda side: pairs.groupBy("doc", "item", "band", side).agg(F.count(F.lit(1)).alias("n"), F.max((F.col("ours") != F.col("theirs")).cast("int")).alias("changed"))
+    line = once("theirs").groupBy("doc", "item", "band").agg(F.count(F.lit(1)).alias("n_slots"), F.sum("changed").alias("n_changed"), F.max("n").alias("m"))
+    back = once("ours").groupBy(F.col("doc").alias("d"), F.col("item").alias("i"), F.col("band").alias("b")).agg(F.max("n").alias("k"))
+    both = line.join(back, line["doc"].eqNullSafe(back["d"]) & (line["item"] == back["i"]) & (line["band"] == back["b"]))
+    return both.select("doc", "item", "band", "n_slots", "n_changed", ((F.col("m") == 1) & (F.col("k") == 1)).alias("ok"))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", cover: float = COVER) -> DataFrame:
     """doc_id, item_id, n_windows, n_item_windows, n_slots, n_changed of every
     contaminated (document, item)."""
-    hit = materialize(matches(docs, benchmark, id_col, text_col), "bench-matches")
-    covered = hit.groupBy("doc", "item", "place").agg(F.min("n_item").alias("n_item"))
-    covered = covered.groupBy("doc", "item").agg(F.count(F.lit(1)).alias("n_windows"), F.min("n_item").alias("n_item_windows"))
-    covered = covered.filter(F.col("n_windows") >= cover * F.col("n_item_windows"))
-    pairs = hit.filter("found is not null").select("doc", "item", (F.col("pos") - F.col("place")).alias("line"), F.explode(F.arrays_zip("slots", "found")).alias("p"))
-    pairs = pairs.filter(F.col("p.slots") != "").select("doc", "item", "line", F.col("p.slots").alias("theirs"), F.col("p.found").alias("ours"))
-    slot = pairs.groupBy("doc", "item", "line", "theirs").agg(F.min("ours").alias("lo"), F.max("ours").alias("hi"))
-    line = slot.groupBy("doc", "item", "line").agg(
-        F.count(F.lit(1)).alias("n"), F.sum((F.col("lo") == F.col("hi")).cast("int")).alias("ok"), F.sum((F.col("lo") != F.col("theirs")).cast("int")).alias("changed")
-    )
-    best = line.groupBy("doc", "item").agg(F.max(F.struct(F.col("ok") / F.col("n"), F.col("n"), -F.col("changed"))).alias("b"))
-    best = best.select(F.col("doc").alias("bdoc"), F.col("item").alias("bitem"), F.col("b.col1").alias("share"), F.col("b.n").alias("n_slots"), (-F.col("b.col3")).alias("n_changed"))
-    both = covered.join(best, covered["doc"].eqNullSafe(best["bdoc"]) & (covered["item"] == best["bitem"]), "left")
-    kept = both.filter(F.col("share").isNull() | (F.col("share") == 1.0))
-    kept = kept.select(
+    items = materialize(_items(benchmark, "item_id", "text"), "bench-items")
+    source = docs.select(docs[id_col].alias("doc"), docs[text_col].alias("text"))
+    bench = materialize(benchmark_windows(items, cover=cover), "bench-windows")
+    hit = materialize(_found(source.select("doc", template(marked(F.col("text"))).alias("words")), bench), "bench-matches")
+    hit = _banded(hit)
+    band = materialize(_covered(hit), "bench-covered")
+    kept = hit.alias("h").join(band.alias("c"), F.col("h.doc").eqNullSafe(F.col("c.doc")) & (F.col("h.item") == F.col("c.item")) & (F.col("h.band") == F.col("c.band")), "left_semi")
+    slots = _slots(source, kept)
+    same = F.col("c.doc").eqNullSafe(F.col("s.doc")) & (F.col("c.item") == F.col("s.item")) & (F.col("c.band") == F.col("s.band"))
+    found = band.alias("c").join(slots.alias("s"), same, "left").filter("s.ok is null or s.ok")
+    zero = F.lit(0).cast("long")
+    found = found.select("c.doc", "c.item", F.lit(0).alias("plain"), "n_windows", "n_item", F.coalesce("n_slots", zero).alias("n_slots"), F.coalesce("n_changed", zero).alias("n_changed"))
+
+    bench = materialize(plain_windows(items, cover=cover), "bench-plain")
+    words = source.select("doc", plain(F.col("text")).alias("words"))
+    copies = _covered(_banded(materialize(_found(words, bench), "bench-verbatim")))
+    copies = copies.select("doc", "item", F.lit(1).alias("plain"), "n_windows", "n_item", zero.alias("n_slots"), zero.alias("n_changed"))
+
+    # items shorter than the smallest window: the whole text or nothing
+    short = items.select("item", plain(F.col("text")).alias("words")).filter((F.size("words") > 0) & (F.size("words") < SHORTEST))
+    short = short.groupBy("words").agg(F.min("item").alias("item"))
+    brief = words.filter((F.size("words") > 0) & (F.size("words") < SHORTEST)).join(short, "words")
+    one = F.lit(1).cast("long")
+    brief = brief.select("doc", "item", F.lit(1).alias("plain"), one.alias("n_windows"), one.alias("n_item"), zero.alias("n_slots"), zero.alias("n_changed"))
+
+    # of several alignments: a template's before a plain one, the longest, the least changed
+    best = F.min(F.struct("plain", (-F.col("n_windows")).alias("less"), "n_changed", (-F.col("n_slots")).alias("few"), "n_item")).alias("b")
+    out = found.unionByName(copies).unionByName(brief).groupBy("doc", "item").agg(best)
+    return out.select(
         F.col("doc").alias("doc_id"),
         F.col("item").alias("item_id"),
-        "n_windows",
-        "n_item_windows",
-        F.coalesce("n_slots", F.lit(0)).cast("long").alias("n_slots"),
-        F.coalesce("n_changed", F.lit(0)).cast("long").alias("n_changed"),
+        (-F.col("b.less")).alias("n_windows"),
+        F.col("b.n_item").alias("n_item_windows"),
+        (-F.col("b.few")).alias("n_slots"),
+        F.col("b.n_changed").alias("n_changed"),
     )
-    kept = materialize(kept, "bench-kept")
-    known = kept.select(F.col("doc_id").alias("bdoc"), F.col("item_id").alias("bitem"))
-    copies = materialize(verbatim(docs, benchmark, id_col, text_col, cover), "bench-verbatim")
-    copies = copies.join(known, copies["doc"].eqNullSafe(known["bdoc"]) & (copies["item"] == known["bitem"]), "left_anti")
-    none = F.lit(0).cast("long")
-    return kept.unionByName(copies.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "n_windows", "n_item_windows", none.alias("n_slots"), none.alias("n_changed")))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

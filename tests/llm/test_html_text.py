@@ -82,3 +82,43 @@ def test_query(spark, sf_dir):
     assert len(rows) == spark.read.parquet(f"{sf_dir}/pages.parquet").count()
     assert all(r["n_chars"] == len(r["text"]) for r in rows)
     assert not any("&amp;" in r["text"] or "<p>" in r["text"] for r in rows)
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<article><p>First of them.</p><svg width=1/><p>Second of them.</p></article>", "First of them.\nSecond of them."),
+        ("<article><p>First.</p><object data=x><p>Second.</p></article>", "First.\nSecond."),
+        ("<article><p>First.</p><select><p>Second.</p><video src=y><p>Third.</p></article>", "First.\nSecond.\nThird."),
+        ("<article><p>First.</p><video><p>not played</p></video><p>Second.</p></article>", "First.\nSecond."),
+        ("<p>Let <math><mi>x</mi></math> be.</p>", "Let x be."),
+        ("<div class='social-science'><p>A text.</p></div>", "A text."),
+        ("<div class='form-factor'><p>A text.</p></div>", "A text."),
+        ("<div class='search-optimized post'><p>A text.</p></div>", "A text."),
+        ("<div class='popular-history'><p>A text.</p></div>", "A text."),
+        ("<div class='tag-list-page'><p>A text.</p></div>", "A text."),
+        ("<div class='related'><p>The only text.</p></div>", "The only text."),
+        ("<div class='cookie-banner'>Cookies!</div><div class=post><p>A text.</p></div><div id=siteFooter>end</div>", "A text."),
+        ("<article><p>Text.</p>" + "<div>" * 220 + "<nav>Menu of all</nav>" + "</div>" * 220 + "</article>", "Text."),
+        ("<div>" * 5000 + "<p>Deep text.</p>", "Deep text."),
+    ],
+)
+def test_markup_that_once_lost_text(html, text):
+    assert ht.extract(html, ht.vote(html)) == text
+
+
+def test_result_equals_per_host_votes_on_the_driver(spark, sf_dir):
+    """The same pages, voted and read without Spark."""
+    from collections import Counter, defaultdict
+    from urllib.parse import urlsplit
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html").collect()
+    votes = defaultdict(Counter)
+    for r in pages:
+        path = ht.vote(r["html"] or "")
+        if path is not None:
+            votes[urlsplit(r["url"] or "").hostname][path] += 1
+    won = {host: min(c, key=lambda p: (-c[p], p)) for host, c in votes.items()}
+    want = {r["page_id"]: ht.extract(r["html"] or "", won.get(urlsplit(r["url"] or "").hostname)) for r in pages}
+    got = {r["page_id"]: r["text"] for r in ht.op6_html_text(spark, sf_dir).collect()}
+    assert got == want

@@ -46,3 +46,11 @@ def test_query(spark, sf_dir):
     out = langid.op8_language_id(spark, sf_dir)
     assert out.columns == ["doc_id", "held_out", "lang_pred", "score"]
     assert out.count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+
+
+def test_only_letters_are_letters(docs_of):
+    """Numbers of category No and Nl are no letters; a text of them is und."""
+    from tidemark.llm.langid import words_of
+
+    assert words_of("½ ² ① 12 Ⅻ _") == []
+    assert words_of("a½b Éte日本ª x_y") == ["a", "b", "éte日本ª", "x", "y"]

@@ -11,10 +11,11 @@
    stands beside a chosen container inside one article or main stays too.
 
 The parser is a single pass over tags: comments, scripts and styles are
-skipped as raw text, paragraphs close implicitly, unclosed and truncated
-markup is fine. Boilerplate (navigation, footers, sidebars, adverts, forms,
-notices, reader comments) is recognised by tag, role, and words of class and
-id, and left out below the chosen container as well.
+skipped as raw text, embedded objects as elements if they are closed,
+paragraphs close implicitly, unclosed and truncated markup is fine at any
+depth. Boilerplate (navigation, footers, sidebars, adverts, forms, notices,
+reader comments) is recognised by tag, role, and class names and ids that say
+nothing else, and left out below the chosen container as well.
 
 Votes are summed inside each task, then by (host, path), so a host with a
 third of all pages is one small sum. Winners are broadcast up to
@@ -30,9 +31,11 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,19 +46,24 @@ BROADCAST_HOSTS = 20_000
 DECAY = 0.6
 #: Containers on the winning path must together hold this share of the best's score.
 SHARE = 0.3
-#: Tags nested deeper than this open no further level; their text still counts.
-DEEPEST = 200
+#: A container whose share of a block is less gets none; in characters.
+LEAST = 1e-9
 
+ATTRIBUTES = r"""(?:[^>"']|"[^"]*"|'[^']*')*+"""
+#: Comments; raw text, which ends at its own end tag or with the page; elements
+#: that are skipped whole if they are closed before the next of their kind
+#: begins; tags; other markup.
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|textarea|title|svg|math|iframe|object|select|canvas|audio|video)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+>|[^>]*>?)"
+    rf"|<(script|style|textarea|title|xmp)\b{ATTRIBUTES}>.*?(?:</\1\s*>|\Z)"
+    rf"|<(noscript|template|iframe|object|select|canvas|audio|video|svg)\b{ATTRIBUTES}(?<!/)>(?:(?!<\2\b).)*?</\2\s*>"
+    rf"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({ATTRIBUTES}>|[^>]*>?)"
     r"|<[!?/][^>]*>?",
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr noscript template iframe object select canvas audio video svg".split())
 CONTAINERS = frozenset("html body main article section div td center table tbody tr blockquote".split())
 BLOCKS = CONTAINERS | frozenset(
     "address aside details dialog dd dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr li menu nav ol p pre summary tfoot th thead ul caption button label".split()
@@ -68,23 +76,47 @@ FENCES = frozenset("ul ol dl table tbody thead article section div body".split()
 
 BOILER_TAGS = frozenset("nav footer aside form button dialog menu label fieldset head".split())
 BOILER_ROLES = frozenset("navigation banner complementary contentinfo search dialog alert alertdialog menu menubar toolbar form".split())
-BOILER_WORD = re.compile(
-    r"(?:^|[\s_-])(?<!has-)(?<!with-)(?<!no-)(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|sidebars?|side-?bar|rail|menu\w*|nav|navbar|navigation|breadcrumbs?|"
-    r"footer|site-header|page-header|masthead|topbar|comments?|commentlist|comment-\w+|disqus|replies|reply|respond|cookies?|consent|gdpr|notices?|notification|"
-    r"alert|toast|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommend\w*|trending|popular|widgets?|toolbar|"
-    r"pagination|pager|skip-link|search|tags?-?list|author-bio|outbrain|taboola|form)(?=$|[\s_-])",
-    re.I,
+#: A class or id means boilerplate if all its parts are words of these two
+#: lists, one of the first at least: "cookie-banner" does, "social-science" not.
+BOILER_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion banner banners sidebar sidebars aside rail menu menus nav navbar "
+    "navigation breadcrumb breadcrumbs footer masthead topbar header comment comments commentlist disqus replies reply respond cookie cookies consent gdpr notice notices "
+    "notification notifications alert alerts toast popup modal overlay newsletter subscribe subscription signup login share sharing social related recommend recommended "
+    "recommendations trending popular widget widgets toolbar pagination pager skip search taglist bio outbrain taboola form".split()
 )
+NEUTRAL_WORDS = frozenset(
+    "site page main top bottom left right side box bar list lists block wrapper wrap container section sections area item items post posts article articles story stories button "
+    "buttons link links slot unit global primary secondary mobile desktop sticky fixed inner outer content body row col column group panel region first last new user author "
+    "tag tags reader thread media icon icons mini small large big in the and of by a us you may also like more read next prev previous field input submit email count id".split()
+)
+#: A header alone is boilerplate only as the site's or the page's.
+HEADERS = frozenset({"site-header", "page-header", "main-header", "global-header", "top-header", "header-bar", "header-nav"})
+PART = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])|\d+")
 DIGITS = re.compile(r"\d+")
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 
+@lru_cache(maxsize=20_000)
+def _means_boiler(name: str) -> bool:
+    parts = [x.lower() for x in PART.split(name) if x]
+    if "header" in parts:
+        return "-".join(parts) in HEADERS
+    return any(x in BOILER_WORDS for x in parts) and all(x in BOILER_WORDS or x in NEUTRAL_WORDS for x in parts)
+
+
+def path_key(path: str | None) -> int:
+    """The key that a container on a path has."""
+    key = 0
+    for step in (path or "").split("/")[1:]:
+        key = xxhash.xxh64_intdigest(step, key)
+    return key
+
+
 class _Node:
-    __slots__ = ("tag", "parent", "path", "boiler", "inside", "link", "depth")
+    __slots__ = ("tag", "parent", "step", "key", "boiler", "inside", "link")
 
-    def __init__(self, tag: str, parent: "_Node | None", attributes: str):
+    def __init__(self, tag: str, parent: "_Node | None", attributes: str, by_name: bool = True):
         self.tag, self.parent = tag, parent
-        self.depth = parent.depth + 1 if parent else 0
         self.boiler = bool(parent and parent.boiler)
         self.inside = bool(parent and parent.inside) or tag in ("article", "main")
         self.link = tag == "a" or bool(parent and parent.link)
@@ -93,20 +125,26 @@ class _Node:
             for key, value in ATTRIBUTE.findall(attributes):
                 key, value = key.lower(), value.strip("\"'")
                 if key in ("class", "id"):
-                    if tag not in ("html", "body", "main") and BOILER_WORD.search(value):
+                    if by_name and tag not in ("html", "body", "main") and any(map(_means_boiler, value.split())):
                         self.boiler = True
                     if key == "class":
-                        names = sorted(DIGITS.sub("#", x) for x in value.split())
+                        names = sorted(DIGITS.sub("#", x.replace("/", "|")) for x in value.split())
                 elif (key == "role" and value.lower() in BOILER_ROLES and tag != "main") or key == "hidden":
                     self.boiler = True
                 elif (key == "aria-hidden" and value.lower() == "true") or (key == "style" and "display:none" in value.replace(" ", "").lower()):
                     self.boiler = True
         if tag in BOILER_TAGS or (tag == "header" and not self.inside):
             self.boiler = True
+        self.step, self.key = None, parent.key if parent else 0
         if tag in CONTAINERS:
-            self.path = (parent.path if parent else "") + "/" + ".".join([tag, *names])
-        else:
-            self.path = parent.path if parent else ""
+            self.step = ".".join([tag, *names])
+            self.key = xxhash.xxh64_intdigest(self.step, self.key)
+
+    @property
+    def path(self) -> str:
+        """Generalised path: the containers from the root."""
+        steps = [n.step for n in self.ancestors() if n.step is not None]
+        return "/" + "/".join(reversed(steps))
 
     def ancestors(self):
         node = self
@@ -117,7 +155,12 @@ class _Node:
 
 def parse(html: str) -> list[tuple[_Node, str, int]]:
     """Blocks in page order: (innermost block element, text, link characters)
-    without boilerplate."""
+    without boilerplate. A page whose class names and ids would leave nothing
+    is read by its tags and roles alone."""
+    return _parse(html, True) or _parse(html, False)
+
+
+def _parse(html: str, by_name: bool) -> list[tuple[_Node, str, int]]:
     root = _Node("html", None, "")
     node, blocks = root, []
     pending: list[str] = []
@@ -154,11 +197,11 @@ def parse(html: str) -> list[tuple[_Node, str, int]]:
         if m.start() > at:
             text(html[at : m.start()])
         at = m.end()
-        name = m.group(3)
+        name = m.group(4)
         if not name:
             continue
         tag = name.lower()
-        if m.group(2):  # an end tag
+        if m.group(3):  # an end tag
             if tag in BLOCKS:
                 flush()
             for up in node.ancestors():
@@ -197,9 +240,9 @@ def parse(html: str) -> list[tuple[_Node, str, int]]:
         if tag == "head":
             node = _Node(tag, root, "")
         elif tag == "body":
-            node = _Node(tag, root, m.group(4))
-        elif node.depth < DEEPEST and (not m.group(4).endswith("/>") or tag in BLOCKS):
-            node = _Node(tag, node, m.group(4))
+            node = _Node(tag, root, m.group(5), by_name)
+        elif not m.group(5).endswith("/>") or tag in BLOCKS:
+            node = _Node(tag, node, m.group(5), by_name)
     if at < len(html):
         text(html[at:])
     flush()
@@ -215,6 +258,8 @@ def containers(blocks) -> dict[_Node, float]:
             if up.tag in CONTAINERS:
                 out[up] = out.get(up, 0.0) + worth * (1.3 if up.tag in ("article", "main") else 1.0)
                 worth *= DECAY
+                if worth < LEAST and up in out:
+                    break
     return out
 
 
@@ -239,10 +284,22 @@ def extract(html: str, path: str | None) -> str:
     best = _best(scores)
     if best is None:
         return ""
-    on_path = {n for n in scores if n.path == path}
+    key = path_key(path)
+    on_path = {n for n in scores if n.key == key and path}
     chosen = on_path if on_path and sum(scores[n] for n in on_path) >= SHARE * scores[best] else {best}
     chosen = chosen | {n.parent for n in chosen if n.tag not in ("article", "main") and n.parent is not None and n.parent.inside}
-    return "\n".join(text for owner, text, _ in blocks if any(up in chosen for up in owner.ancestors()))
+    below = dict.fromkeys(chosen, True)
+
+    def kept(owner: _Node) -> bool:
+        climbed = []
+        while owner is not None and owner not in below:
+            climbed.append(owner)
+            owner = owner.parent
+        answer = owner is not None and below[owner]
+        below.update(dict.fromkeys(climbed, answer))
+        return answer
+
+    return "\n".join(text for owner, text, _ in blocks if kept(owner))
 
 
 def host_of(url: Column) -> Column:

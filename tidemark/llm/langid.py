@@ -29,13 +29,15 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, bounded_batches, bounded_sample, raw_texts, remainder, slices, table, worker_state
+from .common import Memo, bounded_batches, raw_texts, remainder, slices, table, worker_state
 
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 15
+#: Languages learnt: the most frequent ones; bounds the pairs of machines.
+TRAIN_LANGS = 64
 #: Factor on the averaged features, so that margins of 1 are in reach.
 SCALE = 10.0
 TRAIN_ROWS = 800
@@ -54,6 +56,15 @@ FAMILIES = {
 }
 
 
+def words_of(text: str) -> list[str]:
+    """Lower-cased runs of letters (Unicode category L; not fractions or circled
+    numbers, which regular expressions count as word characters)."""
+    found = WORD.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [part for w in found for part in ([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
+
+
 def family(lang: str) -> str:
     code = lang.lower().replace("_", "-").split("-")[0]
     return next((name for name, codes in FAMILIES.items() if code in codes), code)
@@ -135,19 +146,24 @@ class Model:
         return best, float(1 / (1 + np.exp(-np.clip(2 * weakest[best], -50, 50))))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS, train_chars: int = TRAIN_CHARS) -> Model | None:
-    """Learn from a bounded sample: ``train_rows`` documents per language."""
-    spark = docs.sparkSession
-    usable = docs.select(docs[id_col].alias("__id"), docs[lang_col].alias("__lang"))
-    usable = usable.filter((remainder("__id", SPLIT) != HELD_OUT) & F.col("__lang").isNotNull() & F.col("__id").isNotNull())
-    counts = {r["__lang"]: r["n"] for r in usable.groupBy("__lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per language
-    chosen = [tuple(r) for x in sorted(counts) for r in bounded_sample(usable.filter(F.col("__lang") == x), "__id", counts[x], train_rows, "langid").collect()]
-    if not chosen:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS, train_chars: int = TRAIN_CHARS, train_langs: int = TRAIN_LANGS) -> Model | None:
+    """Learn from a bounded sample: ``train_rows`` documents of at most
+    ``train_chars`` characters for each of the ``train_langs`` most frequent
+    languages, in the order of a hash of the id."""
+    source = docs.select(docs[id_col].alias("__id"), docs[lang_col].alias("__lang"), docs[text_col].alias("__t"))
+    usable = source.filter((remainder("__id", SPLIT) != HELD_OUT) & F.col("__lang").isNotNull() & F.col("__id").isNotNull() & (F.length("__t") <= train_chars))
+    counts = usable.groupBy("__lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "__lang").limit(train_langs).collect()
+    if not counts:
         return None
-    ids = spark.createDataFrame(chosen, "__id long, __lang string")
-    text = docs.select(docs[id_col].alias("__d"), docs[text_col].alias("__t")).filter(F.length("__t") <= train_chars)
-    rows = text.join(F.broadcast(ids), F.col("__d") == F.col("__id")).select("__id", "__lang", "__t").dropDuplicates(["__id"]).collect()
-    rows = [(words, lang) for words, lang in ((WORD.findall(t.lower()), lang) for _, lang, t in sorted(map(tuple, rows))) if words]
+    order = F.xxhash64("__id", F.lit("langid"))
+    # thinned first to about twice the number wanted, so that no window is large
+    share = F.create_map(*(F.lit(x) for r in counts for x in (r["__lang"], int(min(1.0, 2.0 * train_rows / r["n"]) * (1 << 20)) + 1)))
+    thin = usable.filter(F.pmod(F.xxhash64(order), F.lit(1 << 20)) < F.coalesce(F.try_element_at(share, F.col("__lang")), F.lit(0)))
+    nth = F.row_number().over(Window.partitionBy("__lang").orderBy(order, "__id"))
+    ids = thin.select("__id", "__lang").distinct().withColumn("__nth", nth).filter(F.col("__nth") <= train_rows).drop("__nth")
+    ids = ids.withColumnsRenamed({"__id": "__i", "__lang": "__l"})  # at most train_langs * train_rows
+    rows = usable.join(F.broadcast(ids), (F.col("__id") == F.col("__i")) & (F.col("__lang") == F.col("__l"))).select("__id", "__lang", "__t").dropDuplicates(["__id"]).collect()
+    rows = [(words, lang) for words, lang in ((words_of(t), lang) for _, lang, t in sorted(map(tuple, rows))) if words]
     return Model([w for w, _ in rows], [x for _, x in rows]) if rows else None
 
 
@@ -173,7 +189,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
         for b in slices(frames):
             lang, score = [], []
             for raw in raw_texts(b.column(1)):
-                words = WORD.findall(raw.decode("utf-8", "replace").lower()) if m is not None else []
+                words = words_of(raw.decode("utf-8", "replace")) if m is not None else []
                 if not words:
                     lang.append("und")
                     score.append(0.0)

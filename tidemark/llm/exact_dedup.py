@@ -22,7 +22,7 @@ an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, bitmap, in_bitmap, lookup, materialize, table, text_or_empty
@@ -30,14 +30,20 @@ from .common import ascii_lower, bitmap, in_bitmap, lookup, materialize, table,
 PREFIX_CHARS = 128
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS) -> DataFrame:
+def prefix_key(text: Column, prefix_chars: int = PREFIX_CHARS) -> Column:
+    """Hash of a text's length and normalised prefix."""
+    return F.xxhash64(F.octet_length(text).cast("long"), F.substring(ascii_lower(text), 1, prefix_chars))
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS, digest: bool = False) -> DataFrame:
     """One row per document: __id, keep_id, group_size, keep_repeats, kept,
-    full_hash (null where rounds 1 and 2 already proved the row single)."""
+    full_hash (null where rounds 1 and 2 already proved the row single), __pk
+    and, with ``digest``, text_sha256 of every row from the same scan."""
     source = docs.select(docs[id_col].alias("__id"), text_or_empty(docs[text_col]).alias("__text"))
     norm = ascii_lower("__text")
     length = F.octet_length("__text").cast("long")
-    prefix_key = F.xxhash64(length, F.substring(norm, 1, prefix_chars))
-    keys = materialize(source.select("__id", length.alias("__len"), prefix_key.alias("__pk")), "dedup-keys")
+    first = prefix_key(F.col("__text"), prefix_chars)
+    keys = materialize(source.select("__id", length.alias("__len"), first.alias("__pk")), "dedup-keys")
     total = keys.count()
 
     # Round 1: lengths that two rows share. Round 2: prefixes, among those.
@@ -47,9 +53,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     bits = bitmap(materialize(prefixes, "dedup-prefixes"), "__pk", "dedup-bits")
 
     # Round 3: the full hash, for survivors only.
-    marked = in_bitmap(source.withColumn("__pk", prefix_key), bits, "__pk", "__maybe")
-    full = F.when(F.col("__maybe"), F.sha2(norm, 256))
-    hashed = marked.select("__id", full.alias("full_hash"))
+    marked = in_bitmap(source.withColumn("__pk", first), bits, "__pk", "__maybe")
+    full = F.sha2(norm, 256)
+    asked = F.when(F.col("__maybe"), F.col("text_sha256") if digest else full).alias("full_hash")
+    hashed = marked.withColumn("text_sha256", full if digest else F.lit(None).cast("string")).select("__id", "__pk", "text_sha256", asked)
     hashed = materialize(hashed, "dedup-hash")
     key = F.xxhash64("full_hash")
     survivors = hashed.filter("full_hash is not null").withColumn("__fk", key)
@@ -67,6 +74,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.coalesce("keep_repeats", F.lit(1).cast("long")).alias("keep_repeats"),
         (single | F.col("__id").eqNullSafe(F.col("keep_id"))).alias("kept"),
         "full_hash",
+        "__pk",
+        "text_sha256",
     )
 
 
@@ -81,47 +90,33 @@ def _lookup_text(left: DataFrame, groups: DataFrame, total: int) -> DataFrame:
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row per distinct normalised text, all columns kept.
 
-    Only rows that the bitmap of dropped (id, text) keys may hold are shuffled
-    for the exact anti join; the others pass through in the scan."""
+    Rows that the bitmap of (id, prefix) keys of dropped or repeated rows
+    cannot hold pass through in the scan, unhashed; the others get their full
+    hash and meet the dropped keys in a join. Of rows repeated with one id and
+    one text any one stays."""
     decided = materialize(exact_groups(docs, id_col, text_col), "dedup-decided")
-    dropped = decided.filter("not kept").select("full_hash", F.col("__id").alias("__drop")).distinct()
-    dropped = materialize(dropped.withColumn("__dk", F.xxhash64("__drop", "full_hash")), "dedup-dropped")
-    sha = F.sha2(ascii_lower(text_or_empty(docs[text_col])), 256)
-    keyed = docs.withColumn("__tm_sha", sha).withColumn("__tm_key", F.xxhash64(docs[id_col], F.col("__tm_sha")))
-    bits = bitmap(dropped, "__dk", "dedup-bits")
-    marked = in_bitmap(keyed, bits, "__tm_key", "__tm_maybe")
-    sure = marked.filter("not __tm_maybe")
-    same = (F.col("__tm_sha") == F.col("full_hash")) & F.col(id_col).eqNullSafe(F.col("__drop"))
-    asked = marked.filter("__tm_maybe").join(dropped, same, "left_anti")
-    out = sure.unionByName(asked)
-    if decided.filter("kept and keep_repeats > 1").limit(1).count():
-        out = out.dropDuplicates(["__tm_sha"])  # some id occurs twice with one text
-    return out.select(*docs.columns)
+    asked = decided.filter("not kept or keep_repeats > 1").select("full_hash", F.col("__id").alias("__drop"), "kept", F.xxhash64("__id", "__pk").alias("__dk")).distinct()
+    asked = materialize(asked, "dedup-asked")
+    text = text_or_empty(docs[text_col])
+    keyed = docs.withColumn("__tm_text", text).withColumn("__tm_key", F.xxhash64(docs[id_col], prefix_key(text)))
+    marked = in_bitmap(keyed, bitmap(asked, "__dk", "dedup-bits"), "__tm_key", "__tm_maybe")
+    sure = marked.filter("not __tm_maybe").select(*docs.columns)
+    left = marked.filter("__tm_maybe").withColumn("__tm_sha", F.sha2(ascii_lower("__tm_text"), 256))
+    gone = asked.filter("not kept").select("__drop", "full_hash")
+    left = left.join(gone, (F.col("__tm_sha") == F.col("full_hash")) & F.col(id_col).eqNullSafe(F.col("__drop")), "left_anti")
+    return sure.unionByName(left.dropDuplicates([id_col, "__tm_sha"]).select(*docs.columns))
 
 
 def op2_exact_dedup(spark, sf_dir: str) -> DataFrame:
-    """Digest columns of the contract. The full hash of rows that the first
-    rounds proved single is not needed for the decision; the contract asks it
-    for every row, so the query fills it in from the same scan."""
-    docs = table(spark, sf_dir, "documents")
-    return digest(docs)
+    return digest(table(spark, sf_dir, "documents"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    decided = exact_groups(docs).filter("group_size > 1")
-    decided = materialize(decided, "dedup-decided")
-    every = docs.select("doc_id", F.sha2(ascii_lower(text_or_empty("text")), 256).alias("text_sha256"))
-    # ids of one text and its group: equal for all repeats of the same row
-    by_row = decided.groupBy("full_hash", "__id").agg(F.first("keep_id").alias("keep_id"), F.first("group_size").alias("group_size"))
-    joined = every.join(by_row, (every["doc_id"].eqNullSafe(by_row["__id"])) & (every["text_sha256"] == by_row["full_hash"]), "left")
-    single = F.col("group_size").isNull()
-    return joined.select(
-        "doc_id",
-        F.when(single, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
-        F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
-        (single | F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
-        "text_sha256",
-    )
+    """Digest columns of the contract. The full hash of rows that the first
+    rounds proved single is not needed for the decision; the contract asks it
+    for every row, so it is computed in the scan of the third round."""
+    found = exact_groups(docs, digest=True)
+    return found.select(F.col("__id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
 ORACLE_SQL = """

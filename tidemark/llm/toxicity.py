@@ -31,6 +31,8 @@ import math
 import re
 import uuid
 import zlib
+from array import array
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -68,10 +70,6 @@ def grams(token: str) -> list[int]:
     return [zlib.crc32(x) & (BUCKETS - 1) for x in found]
 
 
-def bag(token: str) -> np.ndarray:
-    return np.array(grams(token), np.int64)
-
-
 def word_memo(values: np.ndarray) -> Memo:
     """Token -> mean of its bag, cached."""
     flat = values.tolist()
@@ -96,15 +94,20 @@ def passage_starts(n: int, size: int = PASSAGE) -> np.ndarray:
 
 
 class _Bags:
-    """Bags of the sample's vocabulary in one flat array."""
-
-    def __init__(self, docs: list[list[str]]):
-        self.index: dict[str, int] = {}
-        self.docs = [np.array([self.index.setdefault(t, len(self.index)) for t in d], np.int64) for d in docs]
-        parts = [bag(t) for t in self.index]
-        self.size = np.array([len(p) for p in parts], np.int64)
+    """Bags of the sample's vocabulary in one flat array. Of the documents,
+    which may come one by one, only the numbers of their tokens are kept."""
+
+    def __init__(self, docs: Iterable[list[str]]):
+        index: dict[str, int] = {}
+        self.docs = [np.array([index.setdefault(t, len(index)) for t in d], np.int32) for d in docs]
+        flat, size = array("i"), array("i")
+        for t in index:
+            found = grams(t)
+            flat.extend(found)
+            size.append(len(found))
+        self.size = np.array(size, np.int32)
         self.start = np.concatenate([[0], np.cumsum(self.size)[:-1]]).astype(np.int64)
-        self.flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        self.flat = np.array(flat, np.int32)
 
     def gather(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Buckets of ``words`` end to end, and where each word's begin."""
@@ -172,14 +175,15 @@ class _Trainer:
 
 def train(texts: list[bytes], labels: list[int], rate_toxic: float, seed: int = 7) -> tuple[np.ndarray, float, float]:
     """(bucket values, scale, offset): logit = scale * passage mean + offset."""
-    rows = [(t, y) for t, y in ((tokens(t), y) for t, y in zip(texts, labels, strict=True)) if t]
-    if len({y for _, y in rows}) < 2:
+    bags = _Bags(map(tokens, texts))
+    some = [i for i, d in enumerate(bags.docs) if len(d)]
+    if len({labels[i] for i in some}) < 2:
         return np.zeros(BUCKETS, np.float32), 0.0, -1e9
     rng = np.random.default_rng(seed)
-    rows = [rows[i] for i in rng.permutation(len(rows))]
-    bags = _Bags([t for t, _ in rows])
-    y = np.array([int(v) for _, v in rows])
-    keep_out = np.arange(len(rows)) % 5 == 4
+    some = [some[i] for i in rng.permutation(len(some))]
+    bags.docs = [bags.docs[i] for i in some]
+    y = np.array([int(labels[i]) for i in some])
+    keep_out = np.arange(len(some)) % 5 == 4
     if len(set(y[keep_out])) < 2 or len(set(y[~keep_out])) < 2:
         keep_out[:] = False
     fit = np.flatnonzero(~keep_out)
@@ -208,7 +212,7 @@ def train(texts: list[bytes], labels: list[int], rate_toxic: float, seed: int =
     value = model.word_values()
     held = np.flatnonzero(keep_out)
     if (y[held] == 1).sum() < 50:  # too few to fit a scale on
-        held = np.arange(len(rows))
+        held = np.arange(len(some))
     top = np.array([means(value[bags.docs[i]]).max() for i in held])
     scale, offset = _logistic(top, y[held], rate_toxic)
     return model.folded()[0].astype(np.float32), scale, offset
@@ -242,7 +246,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = text.join(F.broadcast(ids), F.col("__d") == F.col("__id")).select("__id", "__t", "__y").dropDuplicates(["__id"]).collect()
     rows.sort(key=lambda r: r["__id"])
     rate = counts.get(1, 0) / max(1, sum(counts.values()))
-    return train([r["__t"].encode() for r in rows], [r["__y"] for r in rows], min(max(rate, 0.01), 0.99))
+    texts, known = [r["__t"].encode() for r in rows], [r["__y"] for r in rows]
+    del rows
+    return train(texts, known, min(max(rate, 0.01), 0.99))
 
 
 def _logits(docs: DataFrame, model):

@@ -133,7 +133,9 @@ def json_get(text: Column, key: str, textual: bool = False) -> Column:
     ``textual`` takes the first textual occurrence of the quoted key instead,
     nested or not, in valid JSON or not."""
     if not textual:
-        return F.coalesce(F.get_json_object(text, f"$.{key}"), F.lit(""))
+        if "'" in key or not key:  # no path can name such a key
+            return F.coalesce(F.try_element_at(F.from_json(text, "map<string,string>"), F.lit(key)), F.lit(""))
+        return F.coalesce(F.get_json_object(text, f"$['{key}']"), F.lit(""))
     pattern = f'(?s)^(?>.*?"{re.escape(key)}")[^:]*+:[ \\t]*+(?:"([^"]*)"|(?!")([^,}} ]*))'
     return F.concat(F.regexp_extract(text, pattern, 1), F.regexp_extract(text, pattern, 2))
 

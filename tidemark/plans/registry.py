@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from . import workload
 from .hits import hits
 from .oracle import workload_sql
-from .primitives import PLANS
+from .primitives import PLANS as PRIMITIVES
+from .roundtrips import PLANS as ROUNDTRIPS
+
+PLANS = PRIMITIVES | ROUNDTRIPS
 
 #: The workload's parameters scaled to the test tables (January 2024, small
 #: counts); ``workload.Params()`` holds the definition's own.

@@ -10,14 +10,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-CSV = {"header": False, "quote": '"', "escape": '"', "emptyValue": ""}
+from .schema import write_schema
 
+CSV = {"header": False, "quote": '"', "escape": '"', "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+#: Compression of Parquet files, by name.
+CODECS = ("none", "snappy", "gzip", "lz4_raw", "zstd")
 
-def load_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+
+def load_csv(spark: SparkSession, path: str, schema: StructType, multi_line: bool = True) -> DataFrame:
     """A headerless CSV with quoted fields that may hold commas, doubled
-    quotes and line feeds."""
+    quotes and line feeds. Blank lines are skipped.
+
+    Line feeds in fields make a file one task, as no place in its middle tells
+    whether it is inside quotes; without them (``multi_line=False``) a file of
+    any size is split."""
     loose = StructType([StructField(f.name, f.dataType, True) for f in schema.fields])
-    raw = spark.read.options(**CSV).option("multiLine", True).option("mode", "FAILFAST").option("enforceSchema", True).schema(loose).csv(path)
+    raw = spark.read.options(**CSV).option("multiLine", multi_line).option("mode", "FAILFAST").option("enforceSchema", True).schema(loose).csv(path)
     zero = {f.name: F.lit("") if isinstance(f.dataType, StringType) else F.lit(0.0 if isinstance(f.dataType, DoubleType) else 0).cast(f.dataType) for f in schema.fields}
     return raw.select(*(F.coalesce(F.col(f"`{n}`"), z).alias(n) for n, z in zero.items()))
 
@@ -26,25 +34,33 @@ def save_csv(df: DataFrame, path: str) -> None:
     df.write.options(**CSV).csv(path)
 
 
-def save_parquet(df: DataFrame, path: str, row_group_bytes: int = 128 << 20, sort_by: list[str] | None = None) -> None:
+def save_parquet(df: DataFrame, path: str, row_group_bytes: int = 128 << 20, sort_by: list[str] | None = None, compression: str = "zstd") -> None:
     """Parquet with statistics per row group and page; sorting inside each
-    file on the usual filter columns lets a scan skip row groups."""
+    file on the usual filter columns lets a scan skip row groups. Version-2
+    pages: what a dictionary does not shorten is delta encoded."""
+    if compression not in CODECS:
+        raise ValueError(f"unknown compression: {compression}")
     out = df.sortWithinPartitions(*sort_by) if sort_by else df
-    out.write.option("parquet.block.size", row_group_bytes).option("compression", "zstd").parquet(path)
+    pages = "v1" if compression == "none" else "v2"  # Spark misreads uncompressed version-2 pages of text
+    out.write.option("parquet.block.size", row_group_bytes).option("parquet.writer.version", pages).option("compression", compression).parquet(path)
 
 
 def load_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def convert_csv(spark: SparkSession, csv_path: str, schema: StructType, out_path: str) -> None:
-    save_parquet(load_csv(spark, csv_path, schema), out_path)
+def convert_csv(spark: SparkSession, csv_path: str, schema: StructType, out_path: str, multi_line: bool = True, sort_by: list[str] | None = None, compression: str = "zstd") -> int:
+    """CSV to Parquet; the number of rows written."""
+    save_parquet(load_csv(spark, csv_path, schema, multi_line), out_path, sort_by=sort_by, compression=compression)
+    return load_parquet(spark, out_path).count()
 
 
-def parquet_to_csv(spark: SparkSession, path: str, csv_path: str) -> StructType:
-    """The way back; returns the schema for ``write_schema``."""
+def parquet_to_csv(spark: SparkSession, path: str, csv_path: str, schema_path: str | None = None) -> StructType:
+    """The way back; returns the schema and writes it beside if asked to."""
     df = load_parquet(spark, path)
     save_csv(df, csv_path)
+    if schema_path is not None:
+        write_schema(spark, df.schema, schema_path)
     return df.schema
 
 

@@ -68,3 +68,54 @@ def test_base_columns_match_sql(spark, duck, sf_dir):
         from w"""
     ).fetchall()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def _plain_row(text):
+    """The query's columns by the definitions alone: phrases by slices, matches
+    by looking every run of words up, chains by their rule."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    places = [(i, label) for i in range(len(words)) for p, label in licenses.PHRASES.items() if words[i : i + len(p.split())] == p.split()]
+    longest = []
+    for end in range(len(words)):
+        n = longest[-1] + 1 if longest else 1  # a longest suffix grows by one word at most
+        while n and tuple(words[end - n + 1 : end + 1]) not in EVERY:
+            n -= 1
+        longest.append(n)
+    chains = {}
+    for end, n in enumerate(longest):
+        if n < licenses.LEAST or (end + 1 < len(words) and longest[end + 1] > n):
+            continue
+        for k, first in EVERY[tuple(words[end - n + 1 : end + 1])].items():
+            mine = chains.setdefault(k, [])
+            if mine and 0 < end - n + 1 - mine[-1][0] <= licenses.GAP and first > mine[-1][1]:
+                mine[-1] = (end, first + n - 1, mine[-1][2] + n)
+            else:
+                mine.append((end, first + n - 1, n))
+    cover = [(licenses.TEMPLATES[k][0], min(1.0, n / len(CUT[k]))) for k, chain in chains.items() for *_, n in chain if n >= licenses.COVER * len(CUT[k])]
+    base = sorted({label for _, label in places})
+    ends = (places[0][0], places[-1][0]) if places else (None, None)
+    score = 1.0 if places else max((c for _, c in cover), default=0.0)
+    return (len(words), len(places), *ends, ",".join(base), ",".join(sorted({*base, *(label for label, _ in cover)})), score)
+
+
+EVERY = {}
+for _k, _t in enumerate(CUT):
+    for _i in range(len(_t)):
+        for _j in range(_i + 1, len(_t) + 1):
+            EVERY.setdefault(tuple(w.decode() for w in _t[_i:_j]), {}).setdefault(_k, _i)
+
+
+def test_query_equals_brute_force(spark, sf_dir):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = {r["doc_id"]: tuple(r)[1:] for r in licenses.op10_license_scan(spark, sf_dir).collect()}
+    assert got == {k: _plain_row(t) for k, t in texts.items()}
+
+
+def test_notices_equal_brute_force(docs_of):
+    """Whole, edited, cut, repeated and mixed notices; ties of two templates."""
+    texts = []
+    for k, (_, notice) in enumerate(licenses.TEMPLATES):
+        cut = notice.split()
+        texts += [notice, f"a {notice} b {notice}", " ".join(w for i, w in enumerate(cut) if i % 11 != 7), " ".join(cut[: len(cut) // 2]), f"{notice} {licenses.TEMPLATES[k - 1][1]}"]
+    got = {r["doc_id"]: tuple(r)[1:8] for r in licenses.scan(docs_of(list(enumerate(texts)))).collect()}
+    assert got == {k: _plain_row(t) for k, t in enumerate(texts)}

@@ -1,3 +1,6 @@
+import re
+import zlib
+
 import numpy as np
 import pytest
 
@@ -80,3 +83,35 @@ def test_query(spark, sf_dir):
     out = toxicity.op3_toxicity(spark, sf_dir)
     assert out.columns == ["doc_id", "held_out", "score", "predicted"]
     assert out.count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+
+
+def _plain_score(model, text):
+    """A score by the definitions alone, without caches or arrays."""
+    values, scale, offset = model
+    found = re.findall(r"[^\W_](?:\S*[^\W_])?", (text or "").lower())
+    means = []
+    for token in found:
+        marked = f"<{token}>"
+        bag = [marked] + [marked[i : i + n] for n in (3, 4, 5) for i in range(len(marked) - n + 1)]
+        means.append(sum(float(values[zlib.crc32(x.encode()) % len(values)]) for x in bag) / len(bag))
+    k = -(-len(found) // toxicity.PASSAGE)
+    passages = [means[i * len(found) // k : (i + 1) * len(found) // k] for i in range(k)]
+    top = max((sum(p) / max(toxicity.LEAST, len(p)) for p in passages), default=0.0)
+    return float(1 / (1 + np.exp(-(scale * top + offset))))
+
+
+def test_query_equals_brute_force(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    got = {r["doc_id"]: r for r in toxicity.op3_toxicity(spark, sf_dir).collect()}
+    for r in docs.collect():
+        mine = got.pop(r["doc_id"])
+        assert mine["score"] == pytest.approx(_plain_score(model, r["text"]), rel=1e-6, abs=1e-9)
+        assert mine["predicted"] == int(mine["score"] >= 0.3)
+        assert mine["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+    assert not got
+
+
+def test_odd_rows_equal_brute_force(spark, model, odd_docs):
+    want = sorted(_plain_score(model, r["text"]) for r in odd_docs.collect())
+    assert sorted(r["score"] for r in toxicity.score(odd_docs, model).collect()) == pytest.approx(want, rel=1e-6, abs=1e-9)

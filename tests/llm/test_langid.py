@@ -1,4 +1,9 @@
+import unicodedata
+import zlib
+from collections import Counter
+
 import duckdb
+import numpy as np
 import pytest
 
 from tidemark.llm import langid
@@ -54,3 +59,49 @@ def test_only_letters_are_letters(docs_of):
 
     assert words_of("½ ² ① 12 Ⅻ _") == []
     assert words_of("a½b Éte日本ª x_y") == ["a", "b", "éte日本ª", "x", "y"]
+
+
+def _plain(model, text):
+    """Prediction and score by the definitions alone: grams of the whole text
+    counted, every machine's margin, then the votes of the two levels."""
+    words = "".join(c if unicodedata.category(c)[0] == "L" else " " for c in (text or "").lower()).split()
+    if not words:
+        return "und", 0.0
+    count = Counter(zlib.crc32(f"<{w}>"[i : i + n].encode()) % langid.BUCKETS for w in words for n in (1, 2, 3, 4) for i in range(len(w) + 3 - n))
+    total = sum(count.values())
+    index, n = np.array(list(count)), np.array(list(count.values()))
+    margin = {pair: float(langid.SCALE * (w[index].astype(float) @ n) / total + b) for pair, w, b in zip(model.pairs, model.weights, model.bias, strict=True)}
+
+    def level(at, names):
+        if len(names) == 1:
+            return names[0], 1.0
+        own = {x: [m if a == x else -m for (k, a, b), m in margin.items() if k == at and x in (a, b)] for x in names}
+        wins = {x: sum(m > 0 or (m == 0 and (at, x, y) in margin) for y in names if y != x for m in [margin.get((at, x, y), -margin.get((at, y, x), 0.0))]) for x in names}
+        best = sorted(names, key=lambda x: (-wins[x], -min(own[x]), x))[0]
+        return best, 1 / (1 + np.exp(-2 * min(own[best])))
+
+    name, p = level("", sorted({langid.family(x) for x in model.langs}))
+    lang, q = level(name, [x for x in model.langs if langid.family(x) == name])
+    return lang, p * q
+
+
+def test_query_equals_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    fitted = langid.fit(docs)
+    got = {r["doc_id"]: r for r in langid.op8_language_id(spark, sf_dir).collect()}
+    for r in docs.collect():
+        mine, (lang, score) = got.pop(r["doc_id"]), _plain(fitted, r["text"])
+        assert (mine["lang_pred"], mine["held_out"]) == (lang, zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+        assert mine["score"] == pytest.approx(score, rel=1e-6)
+    assert not got
+
+
+def test_odd_rows_equal_brute_force(model, odd_docs):
+    want = sorted(_plain(model, r["text"]) for r in odd_docs.collect())
+    got = sorted((r["lang_pred"], r["score"]) for r in langid.predict(odd_docs, model).collect())
+    assert [x for x, _ in got] == [x for x, _ in want]
+    assert [s for _, s in got] == pytest.approx([s for _, s in want], rel=1e-6)
+
+
+def test_ties_fall_to_the_first(model):
+    assert model.decide(np.zeros(len(model.pairs)))[0] == [x for x in model.langs if langid.family(x) == "germanic"][0]

@@ -144,10 +144,10 @@ def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, total: int,
 
 
 #: Words of 64 bits in a membership bitmap: at least, at most (8 MB of bits).
-BITMAP_LEAST, BITMAP_MOST = 1 << 12, 1 << 20
+BITMAP_LEAST, BITMAP_MOST = 1 << 14, 1 << 20
 
 
-def bitmap(keys: DataFrame, key: str, name: str) -> tuple[DataFrame, int]:
+def bitmap(keys: DataFrame, key: str, name: str = "bits") -> tuple[DataFrame, int]:
     """A written membership bitmap over a long hash column and its number of
     words: 16 bits a key and ``BITMAP_MOST`` words at most, so that its
     broadcast is bounded. False positives are possible (and all that more keys

@@ -73,6 +73,16 @@ def test_sort_limit_offset(spark):
     assert "TakeOrderedAndProject" in explain(sort(df, keys, 4, 3))
 
 
+def test_offset_without_limit_over_many_partitions(spark):
+    df = spark.range(0, 5000, 1, 16).selectExpr("id * 7919 % 5000 as a", "id % 3 as b")
+    for offset in (1, 1249, 1250, 2501, 4999, 5000, 9999):
+        rest = sort(df, [("a", False)], 0, offset)
+        assert [r["a"] for r in rest.collect()] == list(range(4999 - offset, -1, -1))
+        assert rest.columns == ["a", "b"]
+        assert "SinglePartition" not in explain(rest) or offset >= 5000
+    assert sort(df.filter("a < 0"), [("a", True)], 0, 3).collect() == []
+
+
 def test_project_passes_nothing_through(spark):
     df = spark.createDataFrame([(1, 2)], "a long, b long")
     out = project(df, {"s": fn.add(F.col("a"), F.col("b")), "one": fn.lit_i(1)})

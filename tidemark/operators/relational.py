@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType, StringType
 
 from ..functions.scalars import compare
+from ..sources.files import shared_folder
 
 
 def scan(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -77,11 +78,34 @@ def aggregate(df: DataFrame, keys: Sequence[str], aggregates: Mapping[str, Colum
 def sort(df: DataFrame, keys: Sequence[tuple[str, bool]], limit: int = 0, offset: int = 0) -> DataFrame:
     """Order by (column, ascending) keys; ``limit`` 0 means no limit.
 
+    An offset without a limit sorts at once and keeps the order as a
+    checkpoint, so that its first rows are skipped in parallel.
     Ties are arbitrary: append a unique key where the result must be fixed."""
     out = df.orderBy(*(F.col(c).asc() if up else F.col(c).desc() for c, up in keys))
-    if offset:
-        out = out.offset(offset)
-    return out.limit(limit) if limit else out
+    if limit:
+        return out.offset(offset).limit(limit) if offset else out.limit(limit)
+    return _skip(out, offset) if offset else out
+
+
+def _skip(ordered: DataFrame, offset: int) -> DataFrame:
+    """``ordered`` without its first ``offset`` rows. Plain OFFSET would bring
+    all rows to one task; here one count per partition reaches the driver and
+    tells at which row id the rest begins. The checkpoint fixes which rows a
+    partition holds, whatever executor is lost later."""
+    context = ordered.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(ordered.sparkSession))
+    kept = ordered.checkpoint()
+    sizes = sorted(tuple(r) for r in kept.groupBy(F.spark_partition_id().alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())
+    part, left = 0, offset
+    for part, n in sizes:
+        if left < n:
+            break
+        left -= n
+    else:
+        return kept.limit(0)
+    numbered = kept.select("*", F.monotonically_increasing_id().alias("__row"))  # partition << 33, plus the place in it
+    return numbered.filter(F.col("__row") >= (part << 33) + left).drop("__row")
 
 
 def explain(df: DataFrame, mode: str = "formatted") -> str:

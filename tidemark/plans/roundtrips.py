@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +10,7 @@ from pyspark.sql.types import StructType
 
 from ..operators import scan
 from ..sources import convert_csv, load_csv, load_parquet, parquet_to_csv, read_schema, save_csv, save_parquet, save_tsv, write_schema
-from ..sources.files import CODECS
+from ..sources.files import CODECS, shared_folder
 from ..sources.schema import parse_schema, schema_lines
 
 #: Columns of ``documents`` that are never null in a file: '' stands for null.
@@ -20,13 +19,8 @@ SQL = "select cast(doc_id as bigint) as doc_id, coalesce(text, '') as text, coal
 
 
 def place(spark: SparkSession) -> str:
-    """A new folder that the cluster shares; a local one in local mode only."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-    return f"{shared.rstrip('/')}/tidemark/files-{uuid.uuid4().hex}"
+    """A new folder in the one that the cluster shares."""
+    return f"{shared_folder(spark)}/tidemark/files-{uuid.uuid4().hex}"
 
 
 def _documents(spark: SparkSession, d: str) -> tuple[DataFrame, StructType]:

@@ -6,6 +6,8 @@ the wrong number of fields or a field that is no number is an error.
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
@@ -17,6 +19,16 @@ CSV = {"header": False, "quote": '"', "escape": '"', "emptyValue": "", "ignoreLe
 CODECS = ("none", "snappy", "gzip", "lz4_raw", "zstd")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares; a local one in local mode only."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="tidemark-")
+
+
 def load_csv(spark: SparkSession, path: str, schema: StructType, multi_line: bool = True) -> DataFrame:
     """A headerless CSV with quoted fields that may hold commas, doubled
     quotes and line feeds. Blank lines are skipped.

@@ -9,7 +9,6 @@ from tokenizers import Tokenizer
 from tidemark.llm import token_file
 
 WHOLE = Tokenizer.from_file(token_file.default_vocabulary())
-WHOLE.encode_special_tokens = True
 CODER = token_file.WordEncoder(token_file.default_vocabulary())
 
 

@@ -30,6 +30,7 @@ table writes no rows.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from functools import lru_cache
 
@@ -78,8 +79,10 @@ class WordEncoder:
         self.words = Memo(self._word, 800_000)
 
     def _piece(self, piece: str) -> bytes:
-        coded = piece.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize(coded)], "<u4").tobytes()
+        # printable ASCII stands for itself
+        coded = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.model.tokenize(coded)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "replace")
